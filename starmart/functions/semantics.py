@@ -42,7 +42,7 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def percent_text(part: Column, whole: Column) -> Column:
     """``33.33%``; two decimals at most, no trailing zeros."""
-    share = F.round(ratio(part, whole) * 100.0, 2)
+    share = F.round(ratio(part * 100, whole), 2)
     digits = F.call_function("format_number", share, F.lit("0.##"))
     return F.concat(F.coalesce(digits, F.lit("")), F.lit("%"))
 
