@@ -5,7 +5,7 @@ All sales whose customer is unknown make one more row without a key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starmart.config import Config
@@ -30,13 +30,25 @@ def _resolved(rows: DataFrame, star: Star) -> DataFrame:
     return rows.join(known, F.col("customer_key") == F.col("known_key"), "left")
 
 
+def _shared(item: str) -> Column:
+    """Keeps rows of unknown customers apart by item.
+
+    A known customer has one row per item, so those rows are just counted.
+    Unknown customers can share an item; it must count once for all of them.
+    """
+    return F.when(F.col("known_key").isNull(), F.col(item)).alias("shared_item")
+
+
+def _distinct_items(rows: str) -> Column:
+    """Distinct items behind ``rows`` counted under ``_shared``."""
+    return F.when(F.col("known_key").isNull(), F.least(rows, F.lit(1))).otherwise(F.col(rows))
+
+
 def spend_by_category(star: Star, config: Config) -> DataFrame:
-    """Spend per known customer and category.
+    """Spend and products per known customer and category.
 
     Sales are reduced to (customer, product) before any join, so neither a
-    frequent customer nor a best-seller reaches a join as many sales. Such a
-    pair is one distinct product of its customer. Unknown customers can share a
-    product; their rows stay apart by product until it is counted once.
+    frequent customer nor a best-seller reaches a join as many sales.
     """
     day, amount = F.col("order_date"), F.col("sales_amount")
     pairs = (
@@ -51,11 +63,10 @@ def spend_by_category(star: Star, config: Config) -> DataFrame:
             year_sum(amount, day, config.current_year).alias("current"),
         )
     )
-    shared = F.when(F.col("known_key").isNull(), F.col("product_key"))
     return (
         _resolved(pairs, star)
         .join(star.products.select("product_key", "category"), "product_key", "left")
-        .groupBy("known_key", "category", shared.alias("shared_product"))
+        .groupBy("known_key", "category", _shared("product_key"))
         .agg(
             F.sum("spend").alias("spend"),
             F.sum("units").alias("units"),
@@ -63,45 +74,47 @@ def spend_by_category(star: Star, config: Config) -> DataFrame:
             F.max("last_order").alias("last_order"),
             F.sum("prior").alias("prior"),
             F.sum("current").alias("current"),
-            F.count("product_key").alias("pairs"),
+            F.count("product_key").alias("product_rows"),
         )
+        .withColumn("products", _distinct_items("product_rows"))
+        .drop("shared_item", "product_rows")
     )
 
 
-def customer_totals(by_category: DataFrame) -> DataFrame:
-    products = F.when(F.col("known_key").isNull(), F.least("pairs", F.lit(1))).otherwise(
-        F.col("pairs")
-    )
-    return by_category.groupBy("known_key").agg(
-        F.sum("spend").alias("total_sales"),
-        F.sum("units").alias("total_quantity"),
-        F.min("first_order").alias("first_order"),
-        F.max("last_order").alias("last_order_date"),
-        F.sum("prior").alias("prior"),
-        F.sum("current").alias("current"),
-        F.sum(products).alias("total_products"),
-    )
-
-
-def preferred_category(by_category: DataFrame) -> DataFrame:
-    """Category with the highest spend; the first by name among equals."""
-    # At most one row per category and customer reaches the window.
-    best = Window.partitionBy("known_key").orderBy(F.desc("spend"), "category")
+def customer_orders(star: Star) -> DataFrame:
+    """Orders per known customer; unknown customers keep one row per order."""
+    pairs = dated(star.sales).select("customer_key", "order_number").distinct()
     return (
-        by_category.where(F.col("known_key").isNotNull() & F.col("category").isNotNull())
-        .withColumn("place", F.row_number().over(best))
-        .where(F.col("place") == 1)
-        .select("known_key", F.col("category").alias("preferred"))
+        _resolved(pairs, star)
+        .groupBy("known_key", _shared("order_number"))
+        .agg(F.count("order_number").alias("order_rows"))
+        .select("known_key", _distinct_items("order_rows").alias("orders"))
     )
 
 
-def customer_orders(star: Star) -> DataFrame:
-    """Distinct orders per known customer."""
-    pairs = dated(star.sales).select("customer_key", "order_number").distinct()
+def customer_totals(star: Star, config: Config) -> DataFrame:
+    """One row per known customer, and one for all unknown ones.
+
+    The two parts are stacked and summed instead of joined: one shuffle brings
+    both to their customer, and the NULL key needs no special join.
+    """
+    # Highest spend first, then the category that sorts first.
+    choice = F.struct(F.col("spend").isNull(), -F.col("spend"), F.col("category").alias("name"))
     return (
-        _resolved(pairs, star)
+        spend_by_category(star, config)
+        .unionByName(customer_orders(star), allowMissingColumns=True)
         .groupBy("known_key")
-        .agg(F.count_distinct("order_number").alias("total_orders"))
+        .agg(
+            F.sum("spend").alias("total_sales"),
+            F.sum("units").alias("total_quantity"),
+            F.min("first_order").alias("first_order"),
+            F.max("last_order").alias("last_order_date"),
+            F.sum("prior").alias("prior"),
+            F.sum("current").alias("current"),
+            F.sum("products").alias("total_products"),
+            F.sum("orders").alias("total_orders"),
+            F.min(F.when(F.col("category").isNotNull(), choice)).alias("best"),
+        )
     )
 
 
@@ -120,16 +133,11 @@ def report_segment(tenure: Column, idle: Column, spend: Column, config: Config)
 
 
 def customer_behavior(star: Star, config: Config) -> DataFrame:
-    by_category = spend_by_category(star, config)
-    orders = customer_orders(star).withColumnRenamed("known_key", "ordering_key")
     person = star.customers.select(
         "customer_key", "customer_number", "first_name", "last_name", "birthdate"
     )
-    rows = (
-        customer_totals(by_category)
-        .join(orders, F.col("known_key").eqNullSafe(F.col("ordering_key")))
-        .join(preferred_category(by_category), "known_key", "left")
-        .join(person, F.col("known_key") == F.col("customer_key"), "left")
+    rows = customer_totals(star, config).join(
+        person, F.col("known_key") == F.col("customer_key"), "left"
     )
 
     anchor = F.lit(config.report_anchor)
@@ -139,13 +147,12 @@ def customer_behavior(star: Star, config: Config) -> DataFrame:
     tenure = months_between_calendars(first, anchor)
     idle = months_between_calendars(last, anchor)
 
-    def yearly(name: str) -> Column:
-        """Yearly sales are not reported for unknown customers."""
-        return F.when(F.col("known_key").isNull(), F.lit(0)).otherwise(
-            F.coalesce(name, F.lit(0))
-        )
+    def known_only(column: Column, default) -> Column:
+        """Yearly sales and preference are not reported for unknown customers."""
+        known = F.when(F.col("known_key").isNotNull(), column)
+        return F.coalesce(known, F.lit(default))
 
-    prior, current = yearly("prior"), yearly("current")
+    prior, current = known_only(F.col("prior"), 0), known_only(F.col("current"), 0)
     loyalty = [
         (config.new_months, labels.NEW_RELATIONSHIP),
         (config.mid_stage_months, labels.MID_RELATIONSHIP),
@@ -169,7 +176,7 @@ def customer_behavior(star: Star, config: Config) -> DataFrame:
         prior.alias(f"sales_{config.prior_year}"),
         current.alias(f"sales_{config.current_year}"),
         growth(prior, current).alias("customer_yoy_sales_growth_rate"),
-        F.coalesce("preferred", F.lit(labels.NO_CATEGORY)).alias("preferred_product_category"),
+        known_only(F.col("best.name"), labels.NO_CATEGORY).alias("preferred_product_category"),
         band(tenure, loyalty, labels.OLD_RELATIONSHIP).alias("customer_loyalty_tier"),
         report_segment(tenure, idle, spend, config).alias("detailed_customer_segment"),
     )

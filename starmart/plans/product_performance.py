@@ -21,22 +21,35 @@ from starmart.schema import Star
 def sales_summary(sales: DataFrame, config: Config) -> DataFrame:
     """One row per product key of the dated sales.
 
-    The distinct counts keep the shuffle key wide (product and order, product
-    and customer), so a best-seller is spread over tasks.
+    Sums combine on the map side. The two exact distinct counts move narrow
+    (product, order) and (product, customer) pairs, hashed by both columns, so a
+    best-seller is spread over tasks; no row is multiplied and nothing is joined.
     """
     day, amount = F.col("order_date"), F.col("sales_amount")
+    rows = dated(sales)
+    sums = rows.groupBy("product_key").agg(
+        F.min(day).alias("first_sale"),
+        F.max(day).alias("last_sale"),
+        F.sum(amount).alias("amount"),
+        F.sum("quantity").alias("units"),
+        year_sum(amount, day, config.prior_year).alias("prior"),
+        year_sum(amount, day, config.current_year).alias("current"),
+    )
+    orders = rows.select("product_key", "order_number").distinct()
+    buyers = rows.select("product_key", "customer_key").distinct()
+    parts = sums.unionByName(orders, allowMissingColumns=True)
     return (
-        dated(sales)
+        parts.unionByName(buyers, allowMissingColumns=True)
         .groupBy("product_key")
         .agg(
-            F.min(day).alias("first_sale_date"),
-            F.max(day).alias("last_sale_date"),
-            F.count_distinct("order_number").alias("total_orders"),
-            F.count_distinct("customer_key").alias("total_customers"),
-            F.sum(amount).alias("total_sales"),
-            F.sum("quantity").alias("total_quantity"),
-            year_sum(amount, day, config.prior_year).alias("prior_sales"),
-            year_sum(amount, day, config.current_year).alias("current_sales"),
+            F.min("first_sale").alias("first_sale_date"),
+            F.max("last_sale").alias("last_sale_date"),
+            F.count("order_number").alias("total_orders"),
+            F.count("customer_key").alias("total_customers"),
+            F.sum("amount").alias("total_sales"),
+            F.sum("units").alias("total_quantity"),
+            F.sum("prior").alias("prior_sales"),
+            F.sum("current").alias("current_sales"),
         )
     )
 
