@@ -103,7 +103,9 @@ def running_sum(rows: DataFrame, value: str, name: str, by: str, order: list[str
     edges = local.groupBy("_slice").agg(
         F.when(~holds_null, F.min(by)).alias("_first"),
         F.max(by).alias("_last"),
-        F.coalesce(F.max_by("_total", by), F.max("_total")).alias("_last_total"),
+        F.when(F.count(by) == 0, F.max("_total"))
+        .otherwise(F.max_by("_total", by))
+        .alias("_last_total"),
     )
     chain = Window.partitionBy(F.lit(0)).orderBy("_slice")
     slices = (

@@ -1,0 +1,273 @@
+"""Rules of the two reports, at and around every bound."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+
+from starmart.config import Config
+from starmart.plans.customer_behavior import customer_behavior
+from starmart.plans.product_performance import product_performance
+from tests.rows import customer, product, sale, star
+
+CONFIG = Config()
+
+
+def _product(spark, sales, **attributes):
+    rows = product_performance(star(spark, sales=sales, products=[product(1, **attributes)]),
+                               CONFIG).collect()
+    assert len(rows) == 1
+    return rows[0]
+
+
+def _customer(spark, sales, **attributes):
+    s = star(spark, sales=sales, customers=[customer(1, **attributes)], products=[product(1)])
+    rows = customer_behavior(s, CONFIG).collect()
+    assert len(rows) == 1
+    return rows[0]
+
+
+def test_unsold_product(spark):
+    row = _product(spark, [sale("1", day=None)], category=None, cost=None)
+    assert (row.category, row.subcategory, row.cost) == ("Unassigned", "Road", 0)
+    assert row.product_obsolescence_status == "Dead Stock (Zero Lifetime Sales)"
+    assert row.active_lifespan_tier == "Unsold Catalog Item"
+    assert row.product_margin_segment == "No Sales Activity"
+    assert row.product_profit_volume_segment == "Low Cash / Minor Contributor ($0-$5k)"
+    assert row.purchase_frequency_tier == "No Purchases"
+    assert (row.total_sales, row.total_orders, row.lifespan_months) == (0, 0, None)
+    assert row.avg_selling_price is None
+    assert (row.avg_order_revenue, row.avg_monthly_revenue) == (0.0, 0.0)
+    assert row.product_yoy_sales_growth_rate == 0.0
+
+
+def test_product_outside_the_catalogue(spark):
+    s = star(spark, sales=[sale("1", product=9)], products=[product(1)])
+    row = {r.product_key: r for r in product_performance(s, CONFIG).collect()}[9]
+    assert row.product_name == "Unmapped / Unknown Product"
+    assert row.product_margin_segment == "Cost Data Missing (Unmapped Product)"
+    assert row.product_profit_volume_segment == "Cost Data Missing (Unmapped Product)"
+    assert row.product_obsolescence_status == "At Risk / Approaching Obsolete" or (
+        row.recency_in_months == 6
+    )
+
+
+@pytest.mark.parametrize(
+    ("last", "status"),
+    [
+        ("2014-01-15", "Active / Fast-Moving"),
+        ("2013-10-01", "Active / Fast-Moving"),
+        ("2013-09-30", "Slow-Moving (Watch List)"),
+        ("2013-06-01", "Slow-Moving (Watch List)"),
+        ("2013-05-31", "At Risk / Approaching Obsolete"),
+        ("2012-12-01", "At Risk / Approaching Obsolete"),
+        ("2012-11-30", "Obsolete / Dead Stock (12+ Months Inactive)"),
+    ],
+)
+def test_obsolescence(spark, last, status):
+    assert _product(spark, [sale("1", day=last)]).product_obsolescence_status == status
+
+
+@pytest.mark.parametrize(
+    ("amount", "tier"),
+    [
+        (9999, "Low-Performer (Lifetime)"),
+        (10000, "Mid-Range (Lifetime)"),
+        (50000, "Mid-Range (Lifetime)"),
+        (50001, "High-Performer (Lifetime)"),
+    ],
+)
+def test_lifetime_tier(spark, amount, tier):
+    assert _product(spark, [sale("1", amount=amount)]).lifetime_sales_tier == tier
+
+
+@pytest.mark.parametrize(
+    ("days", "tier"),
+    [
+        (["2013-01-01"], "Short Run (1-6 Months Active)"),
+        (["2013-01-01", "2013-01-31"], "Single-Month Burst"),
+        (["2013-01-01", "2013-07-31"], "Short Run (1-6 Months Active)"),
+        (["2013-01-01", "2013-08-01"], "Standard Run (7-12 Months Active)"),
+        (["2012-01-01", "2013-01-31"], "Standard Run (7-12 Months Active)"),
+        (["2012-01-01", "2013-02-01"], "Extended Run (12+ Months Active)"),
+    ],
+)
+def test_lifespan_tier(spark, days, tier):
+    sales = [sale(str(i), day=d) for i, d in enumerate(days)]
+    assert _product(spark, sales).active_lifespan_tier == tier
+
+
+@pytest.mark.parametrize(
+    ("amount", "cost", "segment"),
+    [
+        (1000, 599, "High Margin Driver (40%+)"),
+        (1000, 600, "Stable Margin Core (15%-40%)"),
+        (1000, 850, "Stable Margin Core (15%-40%)"),
+        (1000, 851, "Low Margin / Volume Driver (0%-15%)"),
+        (1000, 999, "Low Margin / Volume Driver (0%-15%)"),
+        (1000, 1000, "Unprofitable Loss Leader (<0%)"),
+        (1000, 1001, "Unprofitable Loss Leader (<0%)"),
+        (1000, None, "High Margin Driver (40%+)"),
+    ],
+)
+def test_margin(spark, amount, cost, segment):
+    row = _product(spark, [sale("1", amount=amount)], cost=cost)
+    assert row.product_margin_segment == segment
+
+
+@pytest.mark.parametrize(
+    ("profit", "segment"),
+    [
+        (-1, "Negative Cash Drain (<$0)"),
+        (0, "Low Cash / Minor Contributor ($0-$5k)"),
+        (4999, "Low Cash / Minor Contributor ($0-$5k)"),
+        (5000, "Steady Cash Contributor ($5k-$20k)"),
+        (20000, "Steady Cash Contributor ($5k-$20k)"),
+        (20001, "Massive Cash Generator (>$20k)"),
+    ],
+)
+def test_profit_volume(spark, profit, segment):
+    row = _product(spark, [sale("1", amount=profit + 10)], cost=10)
+    assert row.product_profit_volume_segment == segment
+
+
+@pytest.mark.parametrize(
+    ("orders", "tier"),
+    [
+        (1, "One-Time Sale"),
+        (2, "Occasional Purchase"),
+        (5, "Occasional Purchase"),
+        (6, "Repeat Purchase"),
+    ],
+)
+def test_purchase_frequency(spark, orders, tier):
+    sales = [sale(str(i)) for i in range(orders)] + [sale("0")]
+    assert _product(spark, sales).purchase_frequency_tier == tier
+
+
+def test_product_measures(spark):
+    sales = [
+        sale("1", day="2012-03-01", amount=30, quantity=3),
+        sale("1", day="2012-03-01", amount=7, quantity=1),
+        sale("2", day="2013-05-01", amount=40, quantity=2, customer=2),
+    ]
+    row = _product(spark, sales)
+    assert (row.total_sales, row.total_quantity) == (77, 6)
+    assert (row.total_orders, row.total_customers, row.lifespan_months) == (2, 2, 14)
+    assert (row.avg_selling_price, row.avg_order_revenue) == (12.8, 38.5)
+    assert row.avg_monthly_revenue == 5.13
+    assert (row.sales_2012, row.sales_2013) == (37, 40)
+    assert row.product_yoy_sales_growth_rate == 0.0811
+    assert row.last_sale_date == date(2013, 5, 1)
+
+
+# Snapshot 2013-12-31: (first order, last order, spend) -> segment.
+ACCOUNTS = [
+    ("2012-12-31", "2013-10-01", 5001, "Core VIP (Established)"),
+    ("2013-01-01", "2013-10-01", 5001, "Core VIP (Cooling Down)"),
+    ("2012-12-31", "2013-09-30", 5001, "Core VIP (Cooling Down)"),
+    ("2012-12-31", "2013-10-01", 5000, "Regular Core Base"),
+    ("2013-08-31", "2013-09-01", 5000, "Regular Core Base"),
+    ("2013-09-01", "2013-10-01", 5001, "New VIP (Shooting Star)"),
+    ("2013-09-01", "2013-10-01", 5000, "New Account (Growth Driver)"),
+    ("2013-09-01", "2013-10-01", 1000, "New Account (Growth Driver)"),
+    ("2013-09-01", "2013-10-01", 999, "Standard New (Low Spend)"),
+    ("2013-09-01", "2013-09-30", 9999, "Cold New Lead"),
+    ("2012-01-01", "2012-12-31", 9999, "Lost / Inactive"),
+    ("2012-01-01", "2013-01-01", 9999, "At Risk / Slipping"),
+    ("2012-01-01", "2013-08-31", 9999, "At Risk / Slipping"),
+    ("2014-01-05", "2014-01-20", 10, "Standard New (Low Spend)"),
+]
+
+
+@pytest.mark.parametrize(("first", "last", "spend", "segment"), ACCOUNTS)
+def test_customer_segment(spark, first, last, spend, segment):
+    sales = [sale("1", day=first, amount=spend - 1), sale("2", day=last, amount=1)]
+    assert _customer(spark, sales).detailed_customer_segment == segment
+
+
+def test_segment_sentinel_needs_missing_amounts(spark):
+    row = _customer(spark, [sale("1", day="2013-12-01", amount=None)])
+    assert row.detailed_customer_segment == "Review Logic / Unsegmented"
+
+
+@pytest.mark.parametrize(
+    ("first", "tier"),
+    [
+        ("2013-09-01", "New Relationship"),
+        ("2013-08-31", "Mid-Stage Relationship"),
+        ("2013-01-01", "Mid-Stage Relationship"),
+        ("2012-12-31", "Established Relationship"),
+    ],
+)
+def test_loyalty(spark, first, tier):
+    assert _customer(spark, [sale("1", day=first)]).customer_loyalty_tier == tier
+
+
+@pytest.mark.parametrize(
+    ("born", "age", "group"),
+    [
+        (None, None, "Unknown / Missing Birthdate"),
+        ("1994-12-31", 19, "Under 20"),
+        ("1993-01-01", 20, "20-29"),
+        ("1984-01-01", 29, "20-29"),
+        ("1983-01-01", 30, "30-39"),
+        ("1974-01-01", 39, "30-39"),
+        ("1973-01-01", 40, "40-49"),
+        ("1964-01-01", 49, "40-49"),
+        ("1963-01-01", 50, "50 and above"),
+    ],
+)
+def test_age_groups(spark, born, age, group):
+    row = _customer(spark, [sale("1")], birthdate=born and date.fromisoformat(born))
+    assert (row.age, row.age_groups) == (age, group)
+
+
+def test_preferred_category_and_measures(spark):
+    s = star(
+        spark,
+        sales=[
+            sale("1", product=1, amount=10, day="2012-01-05"),
+            sale("1", product=2, amount=10, day="2012-01-05", quantity=3),
+            sale("2", product=3, amount=99, day="2013-03-05"),
+            sale("2", product=3, amount=1, day="2013-03-05"),
+        ],
+        customers=[customer(1, first=None)],
+        products=[
+            product(1, category="Caps"),
+            product(2, category="Bikes"),
+            product(3, category=None),
+        ],
+    )
+    (row,) = customer_behavior(s, CONFIG).collect()
+    assert row.customer_name == " Lee"
+    assert row.preferred_product_category == "Bikes"
+    assert (row.total_sales, row.total_orders, row.total_quantity) == (120, 2, 6)
+    assert (row.total_products, row.lifespan_months) == (3, 14)
+    assert (row.avg_order_value, row.avg_monthly_spend) == (60.0, 8.0)
+    assert (row.sales_2012, row.sales_2013) == (20, 100)
+    assert row.customer_yoy_sales_growth_rate == 4.0
+
+
+def test_unknown_customers_share_one_row(spark):
+    s = star(
+        spark,
+        sales=[
+            sale("1", customer=8, product=1),
+            sale("1", customer=9, product=1),
+            sale("2", customer=None, product=2),
+            sale("3", customer=9, product=None),
+            sale("4", customer=1),
+        ],
+        customers=[customer(1), customer(2)],
+        products=[product(1), product(2)],
+    )
+    rows = {r.customer_key: r for r in customer_behavior(s, CONFIG).collect()}
+    assert set(rows) == {1, None}
+    unknown = rows[None]
+    assert (unknown.total_orders, unknown.total_products, unknown.total_sales) == (3, 2, 40)
+    assert unknown.customer_name == " "
+    assert (unknown.sales_2012, unknown.sales_2013) == (0, 0)
+    assert unknown.customer_yoy_sales_growth_rate == 0.0
+    assert unknown.preferred_product_category == "No Purchases"
