@@ -1,24 +1,25 @@
 """Ranked lists of customers, products and catalogue groups.
 
-Lists that keep only the first ranks use a plain window: Spark trims every task
-to those ranks before rows are brought together. Ranks over every product use
+Lists that keep only the first ranks look at distinct values before rows, so
+that no number of ties meets in one task. Ranks over every product use
 ``spread.rank_descending``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starmart.config import Config
 from starmart.functions.semantics import within, year_bounds
+from starmart.operators.known import orders_by_known_customer
 from starmart.operators.magnitude import (
     amount_by_customer,
     amount_by_product,
     customer_revenue,
-    orders_with_customer,
     per_key,
 )
 from starmart.operators.spread import rank_descending
@@ -26,15 +27,29 @@ from starmart.schema import Star
 
 
 def _leading(
-    rows: DataFrame, by: list[str], value: str, place: Callable[[], Column], name: str, last: int
+    rows: DataFrame, by: list[str], value: str, name: str, last: int, dense: bool = False
 ) -> DataFrame:
-    """Rows whose place by ``value`` (high to low, within ``by``) is at most ``last``."""
+    """Rows whose (dense) rank by ``value``, high to low within ``by``, is at most ``last``.
+
+    A rank of at most ``last`` belongs to one of the ``last`` highest distinct
+    values. Those few values are ranked by the rows they stand for; the rows are
+    then looked up by value. The window and the broadcast hold ``last`` values
+    per group, however many rows share them.
+    """
     window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(value))
-    return (
-        rows.withColumn(name, place().over(window))
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    higher_rows = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    highest = (
+        rows.groupBy(*by, value)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_place", F.row_number().over(window))
+        .where(F.col("_place") <= last)
+        .withColumn(name, F.col("_place").cast("bigint") if dense else higher_rows + 1)
         .where(F.col(name) <= last)
-        .withColumn(name, F.col(name).cast("bigint"))
+        .select(*[F.col(c).alias(f"_{c}") for c in [*by, value]], name)
     )
+    matches = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, value]]
+    return rows.join(F.broadcast(highest), reduce(and_, matches)).select(*rows.columns, name)
 
 
 def _customers_in_year(star: Star, config: Config) -> DataFrame:
@@ -58,7 +73,6 @@ def customers_in_year(star: Star, config: Config) -> DataFrame:
         _customers_in_year(star, config),
         ["sales_year"],
         "total_revenue",
-        F.rank,
         "rank_customers",
         config.top_customers,
     )
@@ -69,9 +83,9 @@ def customers_in_year_dense(star: Star, config: Config) -> DataFrame:
         _customers_in_year(star, config),
         ["sales_year"],
         "total_revenue",
-        F.dense_rank,
         "dense_rank_customers",
         config.top_customers,
+        dense=True,
     )
 
 
@@ -98,7 +112,6 @@ def products_per_year(star: Star, config: Config) -> DataFrame:
         _product_profit_by_year(star),
         ["sales_year"],
         "total_profit",
-        F.rank,
         "rank_products",
         config.top_products,
     )
@@ -109,9 +122,9 @@ def products_per_year_dense(star: Star, config: Config) -> DataFrame:
         _product_profit_by_year(star),
         ["sales_year"],
         "total_profit",
-        F.dense_rank,
         "dense_rank_products",
         config.top_products,
+        dense=True,
     )
 
 
@@ -186,7 +199,6 @@ def top_products_ranked(star: Star, config: Config) -> DataFrame:
         product_name_revenue(star),
         [],
         "total_revenue",
-        F.rank,
         "rank_products",
         config.top_products,
     )
@@ -209,11 +221,17 @@ def top_customers(star: Star, config: Config) -> DataFrame:
 
 
 def customers_with_fewest_orders(star: Star, config: Config) -> DataFrame:
-    person = ["customer_key", "first_name", "last_name"]
+    """Names are looked up after the list is cut to its length."""
+    fewest = (
+        orders_by_known_customer(star.sales, star)
+        .groupBy("known_key")
+        .agg(F.sum("orders").alias("total_orders"))
+        .orderBy("total_orders", "known_key")
+        .limit(config.idle_customers)
+    )
+    person = star.customers.select("customer_key", "first_name", "last_name")
     return (
-        orders_with_customer(star, *person)
-        .groupBy(*person)
-        .agg(F.count_distinct("order_number").alias("total_orders"))
+        fewest.join(person, F.col("known_key") == F.col("customer_key"), "left")
+        .select("customer_key", "first_name", "last_name", "total_orders")
         .orderBy("total_orders", "customer_key")
-        .limit(config.idle_customers)
     )

@@ -20,30 +20,16 @@ from starmart.functions.semantics import (
     year_sum,
     years_between_calendars,
 )
+from starmart.operators.known import (
+    distinct_items,
+    orders_by_known_customer,
+    resolved,
+    shared_item,
+)
 from starmart.operators.segment import inactive_segment, is_core_vip, newcomer_segment
 from starmart.schema import Star
 
 
-def _resolved(rows: DataFrame, star: Star) -> DataFrame:
-    """``known_key``: the customer key where the customer exists, else NULL."""
-    known = star.customers.select(F.col("customer_key").alias("known_key"))
-    return rows.join(known, F.col("customer_key") == F.col("known_key"), "left")
-
-
-def _shared(item: str) -> Column:
-    """Keeps rows of unknown customers apart by item.
-
-    A known customer has one row per item, so those rows are just counted.
-    Unknown customers can share an item; it must count once for all of them.
-    """
-    return F.when(F.col("known_key").isNull(), F.col(item)).alias("shared_item")
-
-
-def _distinct_items(rows: str) -> Column:
-    """Distinct items behind ``rows`` counted under ``_shared``."""
-    return F.when(F.col("known_key").isNull(), F.least(rows, F.lit(1))).otherwise(F.col(rows))
-
-
 def spend_by_category(star: Star, config: Config) -> DataFrame:
     """Spend and products per known customer and category.
 
@@ -64,9 +50,9 @@ def spend_by_category(star: Star, config: Config) -> DataFrame:
         )
     )
     return (
-        _resolved(pairs, star)
+        resolved(pairs, star)
         .join(star.products.select("product_key", "category"), "product_key", "left")
-        .groupBy("known_key", "category", _shared("product_key"))
+        .groupBy("known_key", "category", shared_item("product_key"))
         .agg(
             F.sum("spend").alias("spend"),
             F.sum("units").alias("units"),
@@ -76,22 +62,11 @@ def spend_by_category(star: Star, config: Config) -> DataFrame:
             F.sum("current").alias("current"),
             F.count("product_key").alias("product_rows"),
         )
-        .withColumn("products", _distinct_items("product_rows"))
+        .withColumn("products", distinct_items("product_rows"))
         .drop("shared_item", "product_rows")
     )
 
 
-def customer_orders(star: Star) -> DataFrame:
-    """Orders per known customer; unknown customers keep one row per order."""
-    pairs = dated(star.sales).select("customer_key", "order_number").distinct()
-    return (
-        _resolved(pairs, star)
-        .groupBy("known_key", _shared("order_number"))
-        .agg(F.count("order_number").alias("order_rows"))
-        .select("known_key", _distinct_items("order_rows").alias("orders"))
-    )
-
-
 def customer_totals(star: Star, config: Config) -> DataFrame:
     """One row per known customer, and one for all unknown ones.
 
@@ -100,9 +75,10 @@ def customer_totals(star: Star, config: Config) -> DataFrame:
     """
     # Highest spend first, then the category that sorts first.
     choice = F.struct(F.col("spend").isNull(), -F.col("spend"), F.col("category").alias("name"))
+    orders = orders_by_known_customer(dated(star.sales), star)
     return (
         spend_by_category(star, config)
-        .unionByName(customer_orders(star), allowMissingColumns=True)
+        .unionByName(orders, allowMissingColumns=True)
         .groupBy("known_key")
         .agg(
             F.sum("spend").alias("total_sales"),

@@ -52,13 +52,16 @@ def written(rows: DataFrame, label: str) -> DataFrame:
 def write_sales(sales: DataFrame, path: str, extra_folders: tuple[str, ...] = ()) -> None:
     """Replace the sales table, one folder per order year.
 
-    ``rebalance`` gives files of the advisory size whatever the year sizes are;
-    the sort by date makes the row-group statistics selective.
+    ``rebalance`` brings a month together and cuts or merges months to files of
+    the advisory size; a period then touches few files, and the sort by date
+    makes their row-group statistics selective.
     """
-    with_year = sales.withColumn(YEAR_COLUMN, F.year("order_date"))
     folders = [*extra_folders, YEAR_COLUMN]
     (
-        with_year.hint("rebalance", *folders)
+        sales.withColumn(YEAR_COLUMN, F.year("order_date"))
+        .withColumn("_month", F.month("order_date"))
+        .hint("rebalance", *folders, "_month")
+        .drop("_month")
         .sortWithinPartitions(*folders, "order_date")
         .write.mode("overwrite")
         .partitionBy(*folders)

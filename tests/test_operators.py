@@ -85,6 +85,14 @@ def test_rank_keeps_ties_and_dense_rank_leaves_no_gap(spark):
     assert dense == sorted([*range(1, 11)] * 2)
 
 
+def test_all_ties_stay_whatever_their_number(spark):
+    sales = [sale(str(i), customer=i, day="2014-01-05", amount=7) for i in range(30)]
+    s = star(spark, sales=sales, customers=[customer(i) for i in range(30)])
+    for rank in (ranking.customers_in_year, ranking.customers_in_year_dense):
+        rows = rank(s, CONFIG).collect()
+        assert len(rows) == 30 and {row[-1] for row in rows} == {1}
+
+
 def test_profit_ignores_sales_without_cost(spark):
     s = star(
         spark,

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from starmart.registry import OPERATORS
+from starmart.schema import Star
 from starmart.sources import tpch
 from tests.conftest import DATA
 
@@ -31,18 +33,16 @@ def test_period_reaches_the_files(stored, capsys, name):
     assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(order_date,", text)
 
 
+@pytest.mark.parametrize("name", ["rank_products_per_year", "dense_rank_products_per_year"])
+def test_values_are_trimmed_before_they_are_ranked(stored, capsys, name):
+    assert plan(OPERATORS[name](stored, CONFIG), capsys).count("WindowGroupLimit") >= 2
+
+
 @pytest.mark.parametrize(
-    "name",
-    [
-        "rank_customers_in_year",
-        "dense_rank_customers_in_year",
-        "rank_products_per_year",
-        "dense_rank_products_per_year",
-        "top5_products_ranked",
-    ],
+    "name", ["rank_customers_in_year", "dense_rank_customers_in_year", "top5_products_ranked"]
 )
-def test_leading_ranks_are_trimmed_before_the_shuffle(stored, capsys, name):
-    assert plan(OPERATORS[name](stored, CONFIG), capsys).count("WindowGroupLimit") >= 2
+def test_values_of_one_group_are_cut_to_a_short_list(stored, capsys, name):
+    assert "TakeOrderedAndProject" in plan(OPERATORS[name](stored, CONFIG), capsys)
 
 
 @pytest.mark.parametrize(
@@ -78,3 +78,41 @@ def test_sales_are_reduced_before_they_meet_a_dimension(stored, capsys):
 def test_product_units_use_two_shuffles(stored, capsys):
     tree = plan(OPERATORS["cum_product_units"](stored, CONFIG), capsys).split("\n\n")[0]
     assert len(re.findall(r"Exchange", tree)) == 2
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "mag_orders_by_country",
+        "share_orders_by_category",
+        "share_customer_penetration",
+        "bottom3_customers_orders",
+        "customer_behavior",
+    ],
+)
+def test_hot_keys_are_split_when_dimensions_are_large(spark, stored, capsys, name):
+    """With every join shuffled and a third of the rows on one key, joins split it."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    sales = tpch.star(spark, f"{DATA}/sf0.01").sales
+    draw = F.pmod(F.xxhash64("order_number", "product_key", "price"), F.lit(3))
+    hot = sales.withColumn(
+        "customer_key", F.when(draw == 0, F.lit(42)).otherwise(F.col("customer_key"))
+    ).withColumn("product_key", F.when(draw == 1, F.lit(77)).otherwise(F.col("product_key")))
+    skewed = Star(hot, stored.customers, stored.products)
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        rows = OPERATORS[name](skewed, CONFIG)
+        rows.collect()
+        assert "skewJoin=true" in plan(rows, capsys) or "skew=true" in plan(rows, capsys)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
