@@ -111,7 +111,8 @@ def _rounded(part: str, whole: str, digits: int) -> str:
     """
     unit = 10**digits
     steps = f"(2 * abs({part})::hugeint * {unit} + {whole}) // (2 * {whole})"
-    return f"(sign({part}) * ({steps})::double / {unit}.0)"
+    # Adding 0.0 turns a negative zero into zero.
+    return f"(sign({part}) * ({steps})::double / {unit}.0 + 0.0)"
 
 
 def _percent(part: str, whole: str) -> str:

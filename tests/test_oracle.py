@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import math
 import os
 
 import duckdb
@@ -35,7 +34,7 @@ def duck():
 
 def _plain(value):
     if isinstance(value, float):
-        return ("number", "nan") if math.isnan(value) else ("number", round(value, 9))
+        return ("number", repr(value))
     if isinstance(value, datetime.date):
         return ("date", value.isoformat())
     return ("none",) if value is None else (type(value).__name__, value)
