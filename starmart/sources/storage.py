@@ -15,21 +15,31 @@ _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
 
 
+def _named_folder(spark: SparkSession) -> str | None:
+    context = spark.sparkContext
+    named = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING, None)
+    return named or context.getCheckpointDir()
+
+
+def has_shared_folder(spark: SparkSession) -> bool:
+    return bool(_named_folder(spark)) or spark.sparkContext.master.startswith("local")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a temporary folder: on a
     cluster such a folder would be lost with the machine that holds it.
     """
-    context = spark.sparkContext
-    named = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING, None)
+    named = _named_folder(spark)
     if named:
         return named.rstrip("/")
-    if not context.master.startswith("local"):
+    if not has_shared_folder(spark):
         raise RuntimeError(f"name a folder that all executors reach in {_SETTING}")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="starmart-")
-    return _local_folders[context.applicationId]
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="starmart-")
+    return _local_folders[application]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -104,11 +104,22 @@ class _Cluster:
         def getConf():
             return _Cluster._Conf
 
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
     conf = _Conf
     sparkContext = _Context
 
 
+def test_star_without_shared_folder_is_not_written(spark, monkeypatch):
+    monkeypatch.setattr(tpch, "has_shared_folder", lambda session: False)
+    monkeypatch.setattr(tpch, "publish", None)
+    assert tpch.star(spark, f"{DATA}/sf0.001").sales.columns == SALES.names
+
+
 def test_cluster_without_shared_folder_is_refused():
+    assert not storage.has_shared_folder(_Cluster)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         storage.shared_folder(_Cluster)
 
