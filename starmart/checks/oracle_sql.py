@@ -530,6 +530,7 @@ def _segments() -> dict[str, str]:
         "segment_customers": _star(
             """select case
                     when recent and age >= 12 and spend > 5000 then 'Core VIP (Established)'
+                    when spend is null and (idle < 3 or idle = 3 and age > 3) then 'Regular'
                     when recent and age <= 3 then
                         case when spend > 5000 then 'New VIP (Shooting Star)'
                             when spend >= 1000 then 'New Account (Growth Driver)'
@@ -635,16 +636,18 @@ def _reports() -> dict[str, str]:
                 else 'Under 20' end as age_groups,
             sales as total_sales, orders as total_orders, units as total_quantity,
             products as total_products,
-            {_rounded('sales', 'orders', 2)} as avg_order_value, last_order_date,
+            coalesce({_rounded('sales', 'nullif(orders, 0)', 2)}, 0.0) as avg_order_value, last_order_date,
             lifespan as lifespan_months,
-            {_rounded('sales', '(lifespan + 1)', 2)} as avg_monthly_spend,
+            coalesce({_rounded('sales', '(lifespan + 1)', 2)}, 0.0) as avg_monthly_spend,
             before as sales_1999, after as sales_2000,
             {_GROWTH} as customer_yoy_sales_growth_rate,
             coalesce(favourite, 'No Purchases') as preferred_product_category,
             case when tenure >= 12 then 'Established Relationship'
                 when tenure >= 4 then 'Mid-Stage Relationship'
                 else 'New Relationship' end as customer_loyalty_tier,
-            case when tenure <= 3 then
+            case when sales is null and (idle < 3 or idle = 3 and tenure > 3)
+                    then 'Review Logic / Unsegmented'
+                when tenure <= 3 then
                     case when idle >= 3 then 'Cold New Lead'
                         when sales > 5000 then 'New VIP (Shooting Star)'
                         when sales >= 1000 then 'New Account (Growth Driver)'
