@@ -636,7 +636,8 @@ def _reports() -> dict[str, str]:
                 else 'Under 20' end as age_groups,
             sales as total_sales, orders as total_orders, units as total_quantity,
             products as total_products,
-            coalesce({_rounded('sales', 'nullif(orders, 0)', 2)}, 0.0) as avg_order_value, last_order_date,
+            coalesce({_rounded('sales', 'nullif(orders, 0)', 2)}, 0.0) as avg_order_value,
+            last_order_date,
             lifespan as lifespan_months,
             coalesce({_rounded('sales', '(lifespan + 1)', 2)}, 0.0) as avg_monthly_spend,
             before as sales_1999, after as sales_2000,

@@ -90,11 +90,13 @@ def rank_descending(
 
 def running_sum(rows: DataFrame, value: str, name: str, by: str, order: list[str]) -> DataFrame:
     """Running total of ``value`` within ``by``; ``by`` and ``order`` identify a row."""
-    group = Window.partitionBy("_slice", by)
+    # Both frames share one sort and one buffer; no two rows are peers.
+    inside = Window.partitionBy("_slice", by).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = written(
         _sliced(rows, by, *order)
-        .withColumn("_running", F.sum(value).over(group.orderBy(*order)))
-        .withColumn("_total", F.sum(value).over(group)),
+        .withColumns({"_running": F.sum(value).over(so_far), "_total": F.sum(value).over(whole)}),
         "running",
     )
 

@@ -48,7 +48,12 @@ def ingest(spark: SparkSession, csv_path: str, table: str, target: str) -> DataF
     if table == "fact_sales":
         write_sales(rows, target, extra_folders=(_REJECTED,))
     else:
-        rows.write.mode("overwrite").partitionBy(_REJECTED).parquet(target)
+        (
+            rows.write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(_REJECTED)
+            .parquet(target)
+        )
     return accepted(spark, table, target)
 
 

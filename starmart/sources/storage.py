@@ -60,7 +60,7 @@ def written(rows: DataFrame, label: str) -> DataFrame:
 
 
 def write_sales(sales: DataFrame, path: str, extra_folders: tuple[str, ...] = ()) -> None:
-    """Replace the sales table, one folder per order year.
+    """Replace the whole sales table, one folder per order year.
 
     ``rebalance`` brings a month together and cuts or merges months to files of
     the advisory size; a period then touches few files, and the sort by date
@@ -74,6 +74,7 @@ def write_sales(sales: DataFrame, path: str, extra_folders: tuple[str, ...] = ()
         .drop("_month")
         .sortWithinPartitions(*folders, "order_date")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
         .partitionBy(*folders)
         .parquet(path)
     )

@@ -109,7 +109,8 @@ def both(request, spark):
 
 def _on_tables(sql: str) -> str:
     """The statement without the block that rebuilds the star."""
-    for prefix, rest in ((f"with {oracle_sql._STAR}, ", "with "), (f"with {oracle_sql._STAR} ", "")):
+    block = f"with {oracle_sql._STAR}"
+    for prefix, rest in ((f"{block}, ", "with "), (f"{block} ", "")):
         if sql.startswith(prefix):
             return rest + sql.removeprefix(prefix)
     raise AssertionError("statement does not begin with the star")

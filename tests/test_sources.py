@@ -64,6 +64,17 @@ def test_quantity_must_fit_the_declared_range(spark, tmp_path):
     assert sorted(r.order_number for r in bad) == ["SO3", "SO4"]
 
 
+def test_reload_replaces_years_that_are_gone(spark, tmp_path):
+    target = str(tmp_path / "fact_sales")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        for day in ("2012-05-01", "2013-05-01"):
+            storage.write_sales(star(spark, sales=[sale("1", day=day)]).sales, target)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert [r.order_year for r in storage.read_sales(spark, target).collect()] == [2013]
+
+
 def test_text_round_trip_keeps_every_value(spark, tmp_path):
     rows = star(
         spark, customers=[customer(1, first=" padded ", last='say "x", y'), customer(2, first=None)]
