@@ -2,7 +2,8 @@
 
 Sales are reduced to one row per own key before they meet a dimension. A key
 that holds a large part of all sales is then a single row in the join, and the
-join moves keys instead of sales.
+join moves keys instead of sales. Sorted results end in a unique key: the order
+is repeatable, and a long run of equal totals can be cut between tasks.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def customers_by_country(star: Star, config: Config) -> DataFrame:
     return (
         star.customers.groupBy("country")
         .agg(F.count("customer_id").alias("total_customers"))
-        .orderBy(F.desc("total_customers"))
+        .orderBy(F.desc("total_customers"), "country")
     )
 
 
@@ -45,7 +46,7 @@ def customers_by_gender(star: Star, config: Config) -> DataFrame:
     return (
         star.customers.groupBy("gender")
         .agg(F.count("customer_id").alias("total_customers"))
-        .orderBy(F.desc("total_customers"))
+        .orderBy(F.desc("total_customers"), "gender")
     )
 
 
@@ -53,7 +54,7 @@ def products_by_subcategory(star: Star, config: Config) -> DataFrame:
     return (
         star.products.groupBy("category", "subcategory")
         .agg(F.count("product_id").alias("unique_products_count"))
-        .orderBy("category", F.desc("unique_products_count"))
+        .orderBy("category", F.desc("unique_products_count"), "subcategory")
     )
 
 
@@ -67,7 +68,7 @@ def orders_by_country(star: Star, config: Config) -> DataFrame:
         .join(star.customers.select("customer_key", "country"), "customer_key", "left")
         .groupBy("country")
         .agg(F.count_distinct("order_number").alias("total_orders"))
-        .orderBy(F.desc("total_orders"))
+        .orderBy(F.desc("total_orders"), "country")
     )
 
 
@@ -77,7 +78,7 @@ def revenue_by_country(star: Star, config: Config) -> DataFrame:
         .join(star.customers.select("customer_key", "country"), "customer_key", "left")
         .groupBy("country")
         .agg(F.sum("amount").alias("total_sales_amount"))
-        .orderBy(F.desc("total_sales_amount"))
+        .orderBy(F.desc("total_sales_amount"), "country")
     )
 
 
@@ -88,7 +89,7 @@ def revenue_by_product(star: Star, config: Config) -> DataFrame:
         .join(star.products.select("product_key", *path), "product_key", "left")
         .groupBy(*path)
         .agg(F.sum("amount").alias("total_sales_amount"))
-        .orderBy(F.desc("total_sales_amount"))
+        .orderBy(F.desc("total_sales_amount"), *path)
     )
 
 
@@ -98,7 +99,7 @@ def times_sold(star: Star, config: Config) -> DataFrame:
         .join(star.products.select("product_key", *PATH), "product_key")
         .groupBy(*PATH)
         .agg(F.sum("sold").alias("times_sold"))
-        .orderBy(F.desc("times_sold"))
+        .orderBy(F.desc("times_sold"), *PATH)
     )
 
 
@@ -118,7 +119,7 @@ def never_sold(star: Star, config: Config) -> DataFrame:
         _catalog_sales(star)
         .where(F.col("times_sold") == 0)
         .select(*PATH)
-        .orderBy("category", "product_name")
+        .orderBy("category", "product_name", "subcategory")
     )
 
 
@@ -127,7 +128,7 @@ def sold_status(star: Star, config: Config) -> DataFrame:
     return (
         _catalog_sales(star)
         .withColumn("product_status", status)
-        .orderBy(F.desc("product_status"), F.desc("times_sold"))
+        .orderBy(F.desc("product_status"), F.desc("times_sold"), *PATH)
     )
 
 
@@ -135,7 +136,7 @@ def average_cost_by_category(star: Star, config: Config) -> DataFrame:
     return (
         star.products.groupBy("category")
         .agg(whole_mean(F.col("cost")).alias("avg_cost"))
-        .orderBy(F.desc("avg_cost"))
+        .orderBy(F.desc("avg_cost"), "category")
     )
 
 
@@ -145,7 +146,7 @@ def revenue_by_category(star: Star, config: Config) -> DataFrame:
         .join(star.products.select("product_key", "category"), "product_key", "left")
         .groupBy("category")
         .agg(F.sum("amount").alias("total_revenue"))
-        .orderBy(F.desc("total_revenue"))
+        .orderBy(F.desc("total_revenue"), "category")
     )
 
 
@@ -162,7 +163,7 @@ def customer_revenue(star: Star) -> DataFrame:
 
 
 def revenue_by_customer(star: Star, config: Config) -> DataFrame:
-    return customer_revenue(star).orderBy(F.desc("total_revenue"))
+    return customer_revenue(star).orderBy(F.desc("total_revenue"), "customer_key")
 
 
 def items_by_country(star: Star, config: Config) -> DataFrame:
@@ -171,5 +172,5 @@ def items_by_country(star: Star, config: Config) -> DataFrame:
         .join(star.customers.select("customer_key", "country"), "customer_key", "left")
         .groupBy("country")
         .agg(F.sum("items").alias("total_sold_items"))
-        .orderBy(F.desc("total_sold_items"))
+        .orderBy(F.desc("total_sold_items"), "country")
     )

@@ -21,7 +21,7 @@ def cost_ranges(star: Star, config: Config) -> DataFrame:
     return (
         star.products.groupBy(band(F.col("cost"), steps, labels.COST_TOP).alias("cost_range"))
         .agg(F.count("product_key").alias("total_products"))
-        .orderBy(F.desc("total_products"))
+        .orderBy(F.desc("total_products"), "cost_range")
     )
 
 
@@ -95,5 +95,5 @@ def customer_segments(star: Star, config: Config) -> DataFrame:
     return (
         accounts.groupBy(segment.alias("detailed_customer_segment"))
         .agg(F.count("known_key").alias("total_customers"))
-        .orderBy(F.desc("total_customers"))
+        .orderBy(F.desc("total_customers"), "detailed_customer_segment")
     )

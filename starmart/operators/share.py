@@ -28,7 +28,7 @@ def sales_by_category(star: Star, config: Config) -> DataFrame:
         .withColumn(
             "percentage_of_total", percent_text(F.col("total_sales"), F.col("overall_sales"))
         )
-        .orderBy(F.desc("total_sales"))
+        .orderBy(F.desc("total_sales"), "category")
     )
 
 
@@ -43,7 +43,7 @@ def orders_by_category(star: Star, config: Config) -> DataFrame:
         .withColumn(
             "percentage_of_total", percent_text(F.col("total_orders"), F.col("true_overall_orders"))
         )
-        .orderBy(F.desc("total_orders"))
+        .orderBy(F.desc("total_orders"), "category")
     )
 
 
@@ -71,5 +71,5 @@ def customer_penetration(star: Star, config: Config) -> DataFrame:
                 F.col("unique_category_customers"), F.col("total_distinct_store_customers")
             ),
         )
-        .orderBy(F.desc("unique_category_customers"))
+        .orderBy(F.desc("unique_category_customers"), "category")
     )

@@ -60,7 +60,7 @@ def period_products(star: Star, config: Config) -> DataFrame:
             "average_cost",
             "total_transactions",
         )
-        .orderBy("order_month", "product_name")
+        .orderBy("order_month", "product_name", "product_key")
     )
 
 
