@@ -18,8 +18,14 @@ from starmart.sources.storage import written
 _BLOCK = 10_000
 
 
-def _sliced(rows: DataFrame, *keys) -> DataFrame:
-    return rows.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id())
+def _sliced(rows: DataFrame, by: list[str], *order) -> DataFrame:
+    """Rows in ranges of (``by``, ``order``), tagged with the number of their range.
+
+    The second cut keeps slices whole and gives every task about as many rows;
+    hashing the few slice numbers would put several slices into one task.
+    """
+    ranges = rows.repartitionByRange(*by, *order)
+    return ranges.withColumn("_slice", F.spark_partition_id()).repartitionByRange("_slice", *by)
 
 
 def _at_slice(names: list[str]):
@@ -41,7 +47,7 @@ def rank_descending(
     order = F.col(value).desc()
     inside = Window.partitionBy("_slice", *by).orderBy(order)
     local = written(
-        _sliced(rows, *by, order, *unique).withColumn(
+        _sliced(rows, by, order, *unique).withColumn(
             "_rank", F.rank().over(inside).cast("bigint")
         ),
         "ranked",
@@ -95,7 +101,7 @@ def running_sum(rows: DataFrame, value: str, name: str, by: str, order: list[str
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = written(
-        _sliced(rows, by, *order)
+        _sliced(rows, [by], *order)
         .withColumns({"_running": F.sum(value).over(so_far), "_total": F.sum(value).over(whole)}),
         "running",
     )

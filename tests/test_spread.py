@@ -71,7 +71,7 @@ def test_null_owner_that_fills_slices(spark):
 
 def test_slices_are_cut_inside_one_group(spark):
     rows = spark.range(4000).select(F.lit(1).alias("c"), F.col("id").alias("k"))
-    sizes = spread._sliced(rows, "c", "k").groupBy("_slice").count().collect()
+    sizes = spread._sliced(rows, ["c"], "k").groupBy("_slice").count().collect()
     assert len(sizes) > 4 and max(r["count"] for r in sizes) < 2000
 
 
