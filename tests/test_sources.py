@@ -6,6 +6,7 @@ import pytest
 
 from starmart.config import Config
 from starmart.operators import quality
+from starmart.plans.customer_behavior import customer_behavior
 from starmart.schema import PRODUCTS, SALES, Star
 from starmart.sources import csv_files, storage, tpch
 from tests.conftest import DATA
@@ -179,3 +180,18 @@ def test_profile_and_catalog(spark):
 def test_session_catalog_lists_tables(spark):
     _defective(spark).customers.createOrReplaceTempView("dim_customers_listed")
     assert "dim_customers_listed" in {t[2] for t in quality.list_tables(spark)}
+
+
+def test_files_to_report(spark, tmp_path):
+    """Text files, loaded tables, report: the same as from the published star."""
+    published = tpch.star(spark, f"{DATA}/sf0.001")
+    loaded = {}
+    for name, rows in published.tables().items():
+        csv_files.export_csv(rows, name, str(tmp_path / "text" / name))
+        csv_files.ingest(spark, str(tmp_path / "text" / name), name, str(tmp_path / name))
+        loaded[name] = csv_files.accepted(spark, name, str(tmp_path / name))
+        assert csv_files.rejected(spark, name, str(tmp_path / name)).isEmpty()
+    again = Star(loaded["fact_sales"], loaded["dim_customers"], loaded["dim_products"])
+    expected = customer_behavior(published, tpch.TPCH_CONFIG)
+    actual = customer_behavior(again, tpch.TPCH_CONFIG)
+    assert sorted(listed(actual), key=repr) == sorted(listed(expected), key=repr)
