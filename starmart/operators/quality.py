@@ -104,6 +104,36 @@ def repeated_keys(star: Star, config: Config) -> DataFrame:
     return _stacked(parts)
 
 
+def rule_violations(star: Star, config: Config) -> DataFrame:
+    """Violations per enforced rule: required columns and dimension keys."""
+    required = required_values(star, config).select(
+        "table_name", F.concat(F.lit("required "), "column_name").alias("rule"), "violations"
+    )
+    keys = [
+        star.tables()[name]
+        .groupBy(*UNIQUE[name])
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(F.count_if(F.col("copies") > 1).alias("violations"))
+        .select(
+            F.lit(name).alias("table_name"),
+            F.lit("unique " + ", ".join(UNIQUE[name])).alias("rule"),
+            "violations",
+        )
+        for name in ("dim_customers", "dim_products")
+    ]
+    return _stacked([required, *keys])
+
+
+def enforce(star: Star, config: Config) -> Star:
+    """The star, if it keeps every rule; otherwise an error that names the broken ones."""
+    # One row per rule.
+    broken = rule_violations(star, config).where(F.col("violations") > 0).collect()
+    if broken:
+        listed = "; ".join(f"{r.table_name}: {r.rule} ({r.violations})" for r in broken)
+        raise ValueError(f"broken rules: {listed}")
+    return star
+
+
 def unknown_references(star: Star, config: Config) -> DataFrame:
     """Keys used by sales that their dimension does not hold, with their rows.
 

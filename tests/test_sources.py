@@ -165,6 +165,33 @@ def test_audits_find_planted_defects(spark):
     ]
 
 
+def test_rules_are_enforced(spark):
+    with pytest.raises(ValueError) as error:
+        quality.enforce(_defective(spark), CONFIG)
+    for rule in (
+        "dim_customers: required customer_id (1)",
+        "dim_customers: unique customer_key (1)",
+        "fact_sales: required order_number (1)",
+        "fact_sales: required customer_key (1)",
+    ):
+        assert rule in str(error.value)
+    # A product twice on one order is reported, not refused.
+    sound = star(
+        spark, sales=[sale("1"), sale("1")], customers=[customer(1)], products=[product(1)]
+    )
+    assert quality.enforce(sound, CONFIG) is sound
+
+
+def test_intermediate_tables_can_be_emptied(spark):
+    storage.release(spark)
+    kept = storage.written(spark.range(5), "kept")
+    assert kept.count() == 5
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert storage.release(spark) == 1
+    assert spark.read.schema("id bigint").parquet(path).count() == 0
+    assert storage.release(spark) == 0
+
+
 def test_profile_and_catalog(spark):
     s = _defective(spark)
     profile = {(r.table_name, r.column_name): r for r in
