@@ -80,6 +80,22 @@ def test_product_units_use_two_shuffles(stored, capsys):
     assert len(re.findall(r"Exchange", tree)) == 2
 
 
+@pytest.mark.parametrize(
+    "name", ["rank_products_profit", "rank_products_in_quarter", "cum_customer_spend"]
+)
+def test_only_slice_summaries_are_brought_together(stored, capsys, name):
+    rows = OPERATORS[name](stored, CONFIG)
+    capsys.readouterr()
+    rows.explain()
+    lines = capsys.readouterr().out.splitlines()
+    single = [i for i, line in enumerate(lines) if "SinglePartition" in line]
+    for i in single:
+        below = next(line for line in lines[i:] if "HashAggregate" in line)
+        assert re.search(r"keys=\[_slice", below)
+    # Rows themselves only meet the broadcast summary.
+    assert "BroadcastHashJoin" in "".join(lines) and "SortMergeJoin" not in "".join(lines)
+
+
 @pytest.mark.parametrize(
     "name",
     [
