@@ -139,17 +139,23 @@ def running_sum(rows: DataFrame, value: str, name: str, by: str, order: list[str
 
 
 def repeated(rows: DataFrame, copies: str) -> DataFrame:
-    """Every row ``copies`` times; long runs are cut into blocks and spread."""
-    count = F.col(copies)
-    few = rows.where(count <= _BLOCK).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), count))
-    )
-    block, step = F.col("_block"), F.lit(_BLOCK).cast("bigint")
+    """Every row ``copies`` times.
+
+    Long runs are cut into blocks, the blocks are spread over tasks, and each
+    block is filled there. Neither list is longer than the root of the run (or
+    ``_BLOCK``).
+    """
+    count, block = F.col(copies), F.col("_block")
+    one = F.lit(1).cast("bigint")
+    step = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(count))).cast("bigint")
+    few = rows.where(count <= _BLOCK).withColumn("_copy", F.explode(F.sequence(one, count)))
     many = (
         rows.where(count > _BLOCK)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1, step)))
+        .withColumn("_block", F.explode(F.sequence(one, count, step)))
         .repartition(*rows.columns, "_block")
-        .withColumn("_copy", F.explode(F.sequence(block + 1, F.least(block + step, count))))
+        .withColumn(
+            "_copy", F.explode(F.sequence(block, F.least(block + step - 1, count)))
+        )
         .drop("_block")
     )
     return few.unionByName(many).drop("_copy", copies)

@@ -77,8 +77,17 @@ def test_slices_are_cut_inside_one_group(spark):
 
 def test_repeated_copies_every_row(spark, monkeypatch):
     monkeypatch.setattr(spread, "_BLOCK", 4)
-    rows = spark.createDataFrame([("a", 1), ("b", 4), ("c", 5), ("d", 13)], "k string, n bigint")
+    wanted = {"a": 1, "b": 4, "c": 5, "d": 13, "e": 16, "f": 17, "g": 1000}
+    rows = spark.createDataFrame(list(wanted.items()), "k string, n bigint")
     copies = spread.repeated(rows, "n")
     assert copies.columns == ["k"]
-    counts = {r["k"]: r["count"] for r in copies.groupBy("k").count().collect()}
-    assert counts == {"a": 1, "b": 4, "c": 5, "d": 13}
+    assert {r["k"]: r["count"] for r in copies.groupBy("k").count().collect()} == wanted
+
+
+def test_a_very_long_run_is_spread(spark):
+    rows = spark.createDataFrame([("a", 3_000_000)], "k string, n bigint")
+    sizes = [
+        r["count"]
+        for r in spread.repeated(rows, "n").groupBy(F.spark_partition_id()).count().collect()
+    ]
+    assert sum(sizes) == 3_000_000 and max(sizes) < 1_500_000
