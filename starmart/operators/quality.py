@@ -66,9 +66,9 @@ def column_profile(star: Star, config: Config) -> DataFrame:
             for f in fields
         ]
         parts.append(
-            rows.agg(*measures)
-            .select(F.inline(F.array(*lines)))
-            .withColumn("table_name", F.lit(name))
+            rows.agg(*measures).select(
+                F.lit(name).alias("table_name"), F.inline(F.array(*lines))
+            )
         )
     return _stacked(parts)
 
@@ -83,7 +83,7 @@ def required_values(star: Star, config: Config) -> DataFrame:
             for c in REQUIRED[name]
         ]
         parts.append(
-            counts.select(F.inline(F.array(*lines))).withColumn("table_name", F.lit(name))
+            counts.select(F.lit(name).alias("table_name"), F.inline(F.array(*lines)))
         )
     return _stacked(parts)
 

@@ -69,6 +69,7 @@ SALES = _table(
 
 # Physical column added when sales are published: the folder they are kept in.
 YEAR_COLUMN = "order_year"
+YEAR_FIELD = StructField(YEAR_COLUMN, IntegerType(), True)
 
 TABLES = {"dim_customers": CUSTOMERS, "dim_products": PRODUCTS, "fact_sales": SALES}
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from starmart.schema import QUANTITY_RANGE, TABLES
-from starmart.sources.storage import read_sales, write_sales
+from starmart.schema import QUANTITY_RANGE, TABLES, YEAR_FIELD
+from starmart.sources.storage import write_sales
 
 DAY_FIRST = "dd/MM/yyyy"
 _RAW = "_raw_line"
@@ -57,22 +57,23 @@ def ingest(spark: SparkSession, csv_path: str, table: str, target: str) -> DataF
     return accepted(spark, table, target)
 
 
+def _stored(spark: SparkSession, target: str, fields: list[StructField]) -> DataFrame:
+    folder = StructField(_REJECTED, BooleanType())
+    return spark.read.schema(StructType([*fields, folder])).parquet(target)
+
+
 def accepted(spark: SparkSession, table: str, target: str) -> DataFrame:
-    folder = f"{target}/{_REJECTED}=false"
+    """The good rows that ``ingest`` stored."""
+    fields = list(TABLES[table].fields)
     if table == "fact_sales":
-        return read_sales(spark, folder)
-    return spark.read.schema(TABLES[table]).parquet(folder)
+        fields.append(YEAR_FIELD)
+    return _stored(spark, target, fields).where(~F.col(_REJECTED)).drop(_REJECTED)
 
 
 def rejected(spark: SparkSession, table: str, target: str) -> DataFrame:
     """What ``ingest`` kept aside: the typed columns and the raw line."""
-    stored = StructType(
-        [*TABLES[table].fields, StructField(_RAW, StringType()),
-         StructField(_REJECTED, StringType())]
-    )
-    return spark.read.schema(stored).parquet(target).where(F.col(_REJECTED) == "true").drop(
-        _REJECTED
-    )
+    fields = [*TABLES[table].fields, StructField(_RAW, StringType())]
+    return _stored(spark, target, fields).where(_REJECTED).drop(_REJECTED)
 
 
 def export_csv(rows: DataFrame, table: str, path: str) -> None:

@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from starmart.schema import CUSTOMERS, PRODUCTS, SALES, YEAR_COLUMN, Star
+from starmart.schema import CUSTOMERS, PRODUCTS, SALES, YEAR_COLUMN, YEAR_FIELD, Star
 
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
@@ -102,8 +102,7 @@ def publish(star: Star, root: str) -> None:
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     """The sales table with its year folder as a column."""
-    stored = StructType([*SALES.fields, StructField(YEAR_COLUMN, IntegerType())])
-    return spark.read.schema(stored).parquet(path)
+    return spark.read.schema(StructType([*SALES.fields, YEAR_FIELD])).parquet(path)
 
 
 def open_star(spark: SparkSession, root: str) -> Star:

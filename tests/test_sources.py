@@ -7,7 +7,7 @@ import pytest
 from starmart.config import Config
 from starmart.operators import quality
 from starmart.plans.customer_behavior import customer_behavior
-from starmart.schema import PRODUCTS, SALES, Star
+from starmart.schema import PRODUCTS, SALES, TABLES, Star
 from starmart.sources import csv_files, storage, tpch
 from tests.conftest import DATA
 from tests.rows import customer, listed, product, sale, star
@@ -49,6 +49,14 @@ def test_day_first_file_with_bad_rows(spark, catalog_file, tmp_path):
     assert sorted(r._raw_line.strip()[:2] for r in bad) == ["4,", "5,", "6,", "7,"]
 
 
+def test_file_without_rows(spark, tmp_path):
+    path = tmp_path / "empty.csv"
+    for table in ("dim_products", "fact_sales"):
+        path.write_text(",".join(TABLES[table].names) + "\n")
+        rows = csv_files.ingest(spark, str(path), table, str(tmp_path / table))
+        assert rows.isEmpty() and csv_files.rejected(spark, table, str(tmp_path / table)).isEmpty()
+
+
 def test_quantity_must_fit_the_declared_range(spark, tmp_path):
     path = tmp_path / "sales.csv"
     path.write_text(
