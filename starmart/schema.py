@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
     IntegerType,
@@ -100,3 +101,21 @@ class Star:
             "dim_products": self.products,
             "fact_sales": self.sales,
         }
+
+    def collated(self, name: str = "UTF8_LCASE_RTRIM") -> Star:
+        """The star with texts compared under a collation.
+
+        Texts are compared byte by byte by default. A store whose texts differ
+        in case or trailing blanks only can be read as if they were equal.
+        """
+
+        def compared(rows: DataFrame) -> DataFrame:
+            return rows.withColumns(
+                {
+                    f.name: F.collate(f.name, name)
+                    for f in rows.schema.fields
+                    if isinstance(f.dataType, StringType)
+                }
+            )
+
+        return Star(compared(self.sales), compared(self.customers), compared(self.products))

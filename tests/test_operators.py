@@ -9,6 +9,7 @@ import pytest
 from starmart.config import Config
 from starmart.operators import cumulative, explore, magnitude, ranking, share, trend
 from starmart.operators.segment import cost_ranges, customer_segments
+from starmart.registry import OPERATORS
 from tests.rows import customer, listed, product, sale, star
 
 CONFIG = Config()
@@ -246,3 +247,28 @@ def test_segments_at_their_bounds(spark, first, last, spend, segment):
 def test_unknown_customers_are_a_group_that_counts_nobody(spark):
     s = star(spark, sales=[sale("1", customer=7, day="2012-01-01")])
     assert listed(customer_segments(s, CONFIG)) == [("Lost / Inactive", 0)]
+
+
+def test_texts_can_be_compared_without_case(spark):
+    s = star(
+        spark,
+        sales=[sale("so1"), sale("SO1 ", customer=2), sale("SO2", customer=2)],
+        customers=[customer(1, country="Peru"), customer(2, country="PERU ")],
+        products=[product(1, name="Cap"), product(2, name="cap")],
+    )
+    plain, folded = (magnitude.orders_by_country(t, CONFIG) for t in (s, s.collated()))
+    assert sorted(listed(plain)) == [("PERU ", 2), ("Peru", 1)]
+    assert [row.total_orders for row in folded.collect()] == [2]
+    names = dict(listed(explore.kpi_report(s.collated(), CONFIG)))
+    assert (names["Total Orders"], names["Total Products"]) == (2, 1)
+
+
+def test_every_operator_runs_on_collated_texts(spark):
+    s = star(
+        spark,
+        sales=[sale("1"), sale("2", product=9, customer=9), sale("3", day=None)],
+        customers=[customer(1)],
+        products=[product(1), product(2, category=None)],
+    ).collated()
+    for operator in OPERATORS.values():
+        operator(s, CONFIG).collect()
