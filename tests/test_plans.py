@@ -59,6 +59,23 @@ def test_no_python_no_cross_join_no_row_multiplication(stored, capsys, name):
         assert node not in text
 
 
+# What may be brought into one task: partial totals, one row per slice, per
+# calendar period, per category or per subcategory.
+SMALL = re.compile(r"keys=\[(_slice|category|subcategory|_groupingexpression)?(#\d+)?\]")
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_one_task_never_gets_unbounded_rows(stored, capsys, name):
+    rows = OPERATORS[name](stored, CONFIG)
+    capsys.readouterr()
+    rows.explain()
+    lines = capsys.readouterr().out.splitlines()
+    for i, line in enumerate(lines):
+        if "SinglePartition" in line:
+            below = next(text for text in lines[i:] if "HashAggregate" in text)
+            assert SMALL.search(below), below
+
+
 def test_scans_read_only_what_is_used(stored, capsys):
     text = plan(OPERATORS["mag_revenue_by_country"](stored, CONFIG), capsys)
     schemas = re.findall(r"ReadSchema: struct<(.*?)>", text)
