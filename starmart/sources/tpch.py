@@ -9,6 +9,7 @@ sold or replaced by a successor, new, lost and low-spending customers.
 from __future__ import annotations
 
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ TPCH_CONFIG = Config(
     focus_month=12,
 )
 
-_published: dict[tuple[str, str], str] = {}
+_TABLES = ("customer", "nation", "part", "orders", "lineitem")
+_published: dict[tuple, str] = {}
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -161,16 +163,23 @@ def derive(spark: SparkSession, folder: str) -> Star:
     return Star(sales(spark, folder), customers(spark, folder), products(spark, folder))
 
 
+def _state(folder: str) -> tuple:
+    """Time and size of the given tables, where the driver sees them as files."""
+    paths = [Path(folder.removeprefix("file:")) / f"{name}.parquet" for name in _TABLES]
+    found = [path.stat() for path in paths if path.exists()]
+    return tuple((entry.st_mtime_ns, entry.st_size) for entry in found)
+
+
 def star(spark: SparkSession, folder: str) -> Star:
     """The star of ``folder``, published once per application.
 
     Later queries read the typed Parquet tables instead of joining orders and
-    lines again. Without a folder that all executors reach, the star stays
-    unevaluated.
+    lines again. Changed tables are published anew. Without a folder that all
+    executors reach, the star stays unevaluated.
     """
     if not has_shared_folder(spark):
         return derive(spark, folder)
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, _state(folder))
     if key not in _published:
         root = new_folder(spark, "star")
         publish(derive(spark, folder), root)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import shutil
 from datetime import date
 
+import pyarrow.parquet
 import pytest
 
 from starmart.config import Config
@@ -132,6 +134,16 @@ class _Cluster:
     sparkContext = _Context
 
 
+def test_changed_tables_are_published_anew(spark, tmp_path):
+    for name in ("customer", "nation", "part", "orders", "lineitem"):
+        shutil.copy(f"{DATA}/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    before = tpch.star(spark, str(tmp_path)).products.count()
+    assert len([key for key in tpch._published if key[1] == str(tmp_path)]) == 1
+    fewer = pyarrow.parquet.read_table(tmp_path / "part.parquet").slice(0, 50)
+    pyarrow.parquet.write_table(fewer, tmp_path / "part.parquet")
+    assert before > 50 == tpch.star(spark, str(tmp_path)).products.count()
+
+
 def test_star_without_shared_folder_is_not_written(spark, monkeypatch):
     monkeypatch.setattr(tpch, "has_shared_folder", lambda session: False)
     monkeypatch.setattr(tpch, "publish", None)
