@@ -23,35 +23,26 @@ def sales_summary(sales: DataFrame, config: Config) -> DataFrame:
 
     Sums combine on the map side. The two exact distinct counts move narrow
     (product, order) and (product, customer) pairs, hashed by both columns, so a
-    best-seller is spread over tasks; no row is multiplied and nothing is joined.
+    best-seller is spread over tasks and no row is multiplied. The three results
+    have one row per product; they are stacked and merged, not joined.
     """
     day, amount = F.col("order_date"), F.col("sales_amount")
-    rows = dated(sales)
-    sums = rows.groupBy("product_key").agg(
-        F.min(day).alias("first_sale"),
-        F.max(day).alias("last_sale"),
-        F.sum(amount).alias("amount"),
-        F.sum("quantity").alias("units"),
-        year_sum(amount, day, config.prior_year).alias("prior"),
-        year_sum(amount, day, config.current_year).alias("current"),
+    by_product = dated(sales).groupBy("product_key")
+    sums = by_product.agg(
+        F.min(day).alias("first_sale_date"),
+        F.max(day).alias("last_sale_date"),
+        F.sum(amount).alias("total_sales"),
+        F.sum("quantity").alias("total_quantity"),
+        year_sum(amount, day, config.prior_year).alias("prior_sales"),
+        year_sum(amount, day, config.current_year).alias("current_sales"),
     )
-    orders = rows.select("product_key", "order_number").distinct()
-    buyers = rows.select("product_key", "customer_key").distinct()
+    orders = by_product.agg(F.count_distinct("order_number").alias("total_orders"))
+    buyers = by_product.agg(F.count_distinct("customer_key").alias("total_customers"))
     parts = sums.unionByName(orders, allowMissingColumns=True)
-    return (
-        parts.unionByName(buyers, allowMissingColumns=True)
-        .groupBy("product_key")
-        .agg(
-            F.min("first_sale").alias("first_sale_date"),
-            F.max("last_sale").alias("last_sale_date"),
-            F.count("order_number").alias("total_orders"),
-            F.count("customer_key").alias("total_customers"),
-            F.sum("amount").alias("total_sales"),
-            F.sum("units").alias("total_quantity"),
-            F.sum("prior").alias("prior_sales"),
-            F.sum("current").alias("current_sales"),
-        )
-    )
+    parts = parts.unionByName(buyers, allowMissingColumns=True)
+    # Every measure comes from one part only: the maximum is its value.
+    measures = [name for name in parts.columns if name != "product_key"]
+    return parts.groupBy("product_key").agg(*[F.max(name).alias(name) for name in measures])
 
 
 def _obsolescence(config: Config) -> Column:
