@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,8 @@ def stored(rows: DataFrame, label: str, *partitions: str) -> DataFrame:
     path = new_path(rows.sparkSession, label)
     rows.write.partitionBy(*partitions).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def runs_on_executors(module: str) -> None:
+    """Send a module's functions with the tasks: executors need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmart.llm import line_dedup, mixing, quality_rules, sharding
-from starmart.llm.common import documents
+from starmart.llm import (
+    language_id,
+    line_dedup,
+    mixing,
+    quality_rules,
+    rule_ensemble,
+    sharding,
+    toxicity,
+    winnowing,
+)
+from starmart.llm.common import documents, labels
 from starmart.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, folder), labels(spark, folder))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, folder))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -21,6 +34,22 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(documents(spark, folder))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(documents(spark, folder))
+
+
+def op6_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.compare(documents(spark, folder)).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        winnowing.digest(F.col("prints")).alias("fingerprint"),
+        winnowing.digest(F.col("edited_prints")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, folder))
     return placed.select(
@@ -35,6 +64,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return rule_ensemble.score_documents(documents(spark, folder), labels(spark, folder))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = F.col("line_dedup")
     return line_dedup.dedup(documents(spark, folder).select("doc_id", "text")).select(
@@ -46,8 +79,12 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
+    "op6_winnowing": op6_winnowing,
     "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
     "op10_line_dedup": op10_line_dedup,
 }
