@@ -11,6 +11,7 @@ from starmart.llm import (
     language_id,
     line_dedup,
     mixing,
+    ngram_join,
     quality_rules,
     rule_ensemble,
     sharding,
@@ -38,6 +39,11 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(documents(spark, folder))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = ngram_join.similar_groups(documents(spark, folder))
+    return grouped.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.compare(documents(spark, folder)).select(
         "doc_id",
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_ngram_join": op5_ngram_join,
     "op6_winnowing": op6_winnowing,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,

@@ -27,8 +27,7 @@ LENGTHS = (5, 7)
 BITS = 20
 SAMPLE_ROWS = 6_000
 SAMPLE_CHARS = 20_000_000
-LEAST_TEXTS = 4
-LEAST_RATIO = 1.2
+LEAST_ERRORS = 3.0
 LEAST_WEIGHT = 0.05
 STEPS = 80
 CHUNK = 1 << 20
@@ -105,7 +104,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1e-4) -> Model:
+def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1e-3) -> Model:
     """The model of these feature lists and labels; constant if a class is missing."""
     weights = np.zeros(1 << BITS, np.float32)
     positive = label == 1
@@ -117,7 +116,7 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1e-4) ->
     p = np.bincount(flat[positive[of]], minlength=1 << BITS)
     q = np.bincount(flat, minlength=1 << BITS) - p
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
-    used = (p + q >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
+    used = np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / (p + 1) + 1 / (q + 1))
     some = used[flat]
     place = np.cumsum(used) - 1
     column, row = place[flat[some]], of[some]
