@@ -105,10 +105,15 @@ def _cuts(left: DataFrame) -> DataFrame:
 
 
 def pareto_sample(
-    rows: DataFrame, seed: int = 0, buckets: int = BUCKETS, passes: int = PASSES
+    rows: DataFrame,
+    seed: int = 0,
+    buckets: int = BUCKETS,
+    passes: int = PASSES,
+    full: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` with ``copies``: how often the mix takes each.
 
+    ``full`` may be the same rows with more columns; the result is then made of it.
     ``rows`` has group, doc_id, key, size and ``expected`` copies (0 or more, may
     differ inside a group). The fractional parts of ``expected`` are the inclusion
     probabilities; the sample of a group has the size that is the sum of
@@ -120,7 +125,7 @@ def pareto_sample(
     """
     part = F.col("expected") - F.floor("expected")
     u = _uniform(F.col("key"), seed)
-    odds = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
+    odds = F.when(F.col("part") > 0, (u / (1 - u)) * (1 - F.col("part")) / F.col("part"))
     ranked = (
         rows.withColumn("part", part)
         .where(F.col("part") > 0)
@@ -140,8 +145,9 @@ def pareto_sample(
             left.join(cuts, same).where(~_inside()).withColumn("gap", F.col("more"))
         ).select(*ranked.columns, "gap")
 
+    full = rows if full is None else full
     sampled = (
-        rows.withColumn("part", part)
+        full.withColumn("part", part)
         .withColumn("q", odds)
         .withColumn("bucket", F.floor(F.lit(buckets) * F.col("q") / (1 + F.col("q"))))
         .withColumn("place", _place())
@@ -157,7 +163,7 @@ def pareto_sample(
             .withColumn("open", F.col("open") & ~F.col("chosen"))
             .drop(*cuts.columns, "chosen")
         )
-    return sampled.select(*rows.columns, "copies")
+    return sampled.select(*full.columns, "copies")
 
 
 def _place() -> Column:
@@ -179,34 +185,36 @@ def mix(
     seed: int = 0,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """(doc_id, key, source, size, source_size, target, copies, taken) of every row.
+    """Every row of ``docs`` with a struct ``mixing``: how the mix takes it.
 
-    Null texts have a size of 0, as have texts without words. A source of null is a source of its own. Equal rows get equal
-    results, reruns too, since the random number comes from id and text. Other
-    columns of ``docs`` are not read. Without documents there are no rows.
+    The struct has size, source_size, target, copies and taken (words, repeats
+    counted); a column of that name is replaced. Null texts have a size of 0, as
+    have texts without words. A source of null is a source of its own. Equal rows
+    get equal results, reruns too, since the random number comes from id and text.
+    Without documents there are no rows.
     """
-    slim = stored(
-        docs.select(
-            F.col("doc_id"),
-            F.xxhash64("doc_id", whole(F.col("text"))).alias("key"),
-            F.col("source"),
-            word_count(F.col("text")).alias("size"),
-        ),
-        "sizes",
-    )
+    docs = docs.drop("mixing")
+    key = F.xxhash64("doc_id", whole(F.col("text"))).alias("key")
+    own = [F.col("doc_id"), key, F.col("source"), word_count(F.col("text")).alias("size")]
+    slim = stored(docs.select(*own), "sizes")
     aims = stored(targets(slim, weights, most), "targets").withColumnRenamed("source", "of")
-    aimed = slim.join(aims, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sampled = pareto_sample(
-        aimed.withColumn("group", F.col("source")).withColumn("expected", expected), seed, buckets
-    )
+
+    def aimed(rows: DataFrame) -> DataFrame:
+        joined = rows.join(aims, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        return joined.withColumn("group", F.col("source")).withColumn("expected", expected)
+
+    full = aimed(docs.select(F.struct(*docs.columns).alias("doc"), *own))
+    sampled = pareto_sample(aimed(slim), seed, buckets, full=full)
+    taken = (F.col("copies") * F.col("size")).alias("taken")
     return sampled.select(
-        "doc_id",
-        "key",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+        "doc.*", F.struct("size", "source_size", "target", "copies", taken).alias("mixing")
     )
+
+
+def repeated(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with the same columns."""
+    mixed = mix(docs, **options)
+    each = F.explode(F.sequence(F.lit(1), F.col("mixing.copies").cast("int")))
+    taken = mixed.where(F.col("mixing.copies") > 0)
+    return taken.select(F.struct(*docs.columns).alias("doc"), each.alias("copy")).select("doc.*")

@@ -475,3 +475,23 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         F.lit(True).alias("first"),
     )
     return with_words.unionAll(without)
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, with the same columns.
+
+    Of rows equal in id and text one stays, unless they have no words.
+    """
+    firsts = similar_groups(docs).where("first")
+    kept = firsts.select(
+        F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"), "n_shingles"
+    ).distinct()
+    packed = docs.select(
+        F.struct(*docs.columns).alias("doc"),
+        F.col("doc_id").cast("long").alias("id"),
+        row_key("doc_id", "text").alias("row"),
+    )
+    same = (F.col("row") == F.col("kept_row")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    place = F.row_number().over(Window.partitionBy("row", "id").orderBy("row"))
+    found = packed.join(kept, same).withColumn("place", place)
+    return found.where((F.col("place") == 1) | (F.col("n_shingles") == 0)).select("doc.*")

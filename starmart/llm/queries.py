@@ -14,6 +14,7 @@ from starmart.llm import (
     ngram_join,
     quality_rules,
     rule_ensemble,
+    sentencepiece_fst,
     sharding,
     toxicity,
     winnowing,
@@ -27,8 +28,8 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, folder))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    docs = documents(spark, folder).select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "mixing.*")
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +75,16 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return rule_ensemble.score_documents(documents(spark, folder), labels(spark, folder))
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    blank = F.translate("text", sentencepiece_fst.SPACE, " ")
+    return sentencepiece_fst.encode_documents(documents(spark, folder)).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        (F.col("decoded") == blank).alias("round_trip"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = F.col("line_dedup")
     return line_dedup.dedup(documents(spark, folder).select("doc_id", "text")).select(
@@ -93,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_winnowing": op6_winnowing,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
 }

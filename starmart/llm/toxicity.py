@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from starmart.llm import sampling
-from starmart.llm.common import id_remainder, runs_on_executors
+from starmart.llm.common import fresh, id_remainder, runs_on_executors
 
 runs_on_executors(__name__)
 
@@ -185,3 +185,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a score below 0.5, with the same columns."""
+    name = fresh(docs, "toxicity")
+    scored = docs.withColumn(name, score(F.col("text"), fit(docs, labels)))
+    return scored.where(F.col(name) < 0.5).drop(name)
