@@ -6,18 +6,21 @@ Also works as the main file of ``spark-submit``.
 from __future__ import annotations
 
 import argparse
+import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import fields
 from datetime import date
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from starmart.config import Config
 from starmart.operators import quality
 from starmart.plans import views
 from starmart.registry import OPERATORS
 from starmart.schema import TABLES, Star
-from starmart.sources import csv_files, storage
+from starmart.sources import csv_files
 
 
 def _config(settings: Sequence[str]) -> Config:
@@ -34,16 +37,31 @@ def _config(settings: Sequence[str]) -> Config:
 
 
 def load(spark: SparkSession, texts: str, root: str) -> None:
-    """``texts``/<table>.csv into typed tables below ``root``; checks the rules."""
+    """``texts``/<table>.csv into typed tables below ``root``.
+
+    Each load has a folder of its own. It becomes the store's content by one more
+    row in ``root``/loads, written after the rules have been checked: until then,
+    and for ever if a rule is broken, the store is that of the load before.
+    """
+    version = uuid.uuid4().hex
     rows = {
-        table: csv_files.ingest(spark, f"{texts}/{table}.csv", table, f"{root}/{table}")
+        table: csv_files.ingest(spark, f"{texts}/{table}.csv", table, f"{root}/{version}/{table}")
         for table in TABLES
     }
     quality.enforce(_star(rows), Config())
+    (
+        spark.createDataFrame([(version, time.time_ns())], "version string, loaded bigint")
+        .coalesce(1)
+        .write.mode("append")
+        .parquet(f"{root}/loads")
+    )
 
 
 def opened(spark: SparkSession, root: str) -> Star:
-    return _star({t: csv_files.accepted(spark, t, f"{root}/{t}") for t in TABLES})
+    """The tables of the latest load that kept the rules."""
+    loads = spark.read.parquet(f"{root}/loads")
+    version = loads.agg(F.max_by("version", "loaded")).first()[0]
+    return _star({t: csv_files.accepted(spark, t, f"{root}/{version}/{t}") for t in TABLES})
 
 
 def _star(rows: dict) -> Star:
@@ -64,7 +82,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
     command.add_argument("name", choices=sorted(OPERATORS), metavar="name")
     command.add_argument("root")
     command.add_argument("--set", action="append", default=[], metavar="name=value")
-    command.add_argument("--to", help="Parquet folder for the result")
+    command.add_argument("--to", help="Parquet folder for the whole result")
+    command.add_argument("--rows", type=int, default=50, help="rows to show without --to (50)")
 
     command = commands.add_parser("reports", help="store both reports")
     command.add_argument("root")
@@ -85,8 +104,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
         if given.to:
             result.write.mode("overwrite").parquet(given.to)
         else:
-            result.show(50, truncate=False)
-        storage.release(spark)
+            result.show(given.rows, truncate=False)
 
 
 if __name__ == "__main__":

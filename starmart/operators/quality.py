@@ -25,11 +25,14 @@ def list_tables(spark: SparkSession, database: str | None = None) -> list[tuple]
 
 
 def table_catalog(star: Star, config: Config) -> DataFrame:
-    """The tables of the star and how many rows each holds."""
+    """The tables of the star, where the session looks them up, and their rows."""
     return _stacked(
         [
             rows.agg(F.count(F.lit(1)).alias("row_count")).select(
-                F.lit(name).alias("table_name"), F.lit("BASE TABLE").alias("table_type"),
+                F.current_catalog().alias("table_catalog"),
+                F.current_schema().alias("table_schema"),
+                F.lit(name).alias("table_name"),
+                F.lit("BASE TABLE").alias("table_type"),
                 "row_count",
             )
             for name, rows in star.tables().items()
@@ -38,12 +41,15 @@ def table_catalog(star: Star, config: Config) -> DataFrame:
 
 
 def column_profile(star: Star, config: Config) -> DataFrame:
-    """Declared type and observed content of every column; one pass per table."""
+    """Type, as the table has it, and content of every column; one pass per table.
+
+    The declared type and length stand beside what the table says.
+    """
     parts = []
     for name, rows in star.tables().items():
-        fields = TABLES[name].fields
+        fields = [(f, rows.schema[f.name]) for f in TABLES[name].fields]
         measures = []
-        for f in fields:
+        for _, f in fields:
             column = F.col(f.name)
             measures.append(F.count_if(column.isNull()).alias(f"{f.name}_nulls"))
             if isinstance(f.dataType, StringType):
@@ -52,8 +58,9 @@ def column_profile(star: Star, config: Config) -> DataFrame:
             F.struct(
                 F.lit(f.name).alias("column_name"),
                 F.lit(f.dataType.simpleString()).alias("data_type"),
+                F.lit(declared.dataType.simpleString()).alias("declared_type"),
                 F.lit("YES" if f.nullable else "NO").alias("is_nullable"),
-                F.lit(TEXT_LIMIT if isinstance(f.dataType, StringType) else None)
+                F.lit(TEXT_LIMIT if isinstance(declared.dataType, StringType) else None)
                 .cast("int")
                 .alias("character_maximum_length"),
                 F.col(f"{f.name}_nulls").alias("null_values"),
@@ -63,7 +70,7 @@ def column_profile(star: Star, config: Config) -> DataFrame:
                     else F.lit(None).cast("int")
                 ).alias("longest_value"),
             )
-            for f in fields
+            for declared, f in fields
         ]
         parts.append(
             rows.agg(*measures).select(
@@ -92,9 +99,7 @@ def repeated_keys(star: Star, config: Config) -> DataFrame:
     """Keys that occur more than once. For sales this is a report, not a rule."""
     parts = []
     for name, rows in star.tables().items():
-        text = F.concat_ws(
-            "|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in UNIQUE[name]]
-        )
+        text = F.to_json(F.struct(*UNIQUE[name]))
         parts.append(
             rows.groupBy(*UNIQUE[name])
             .agg(F.count(F.lit(1)).alias("copies"))
@@ -104,8 +109,30 @@ def repeated_keys(star: Star, config: Config) -> DataFrame:
     return _stacked(parts)
 
 
+def long_texts(star: Star, config: Config) -> DataFrame:
+    """Values longer than the declared limit, per text column. They are kept whole."""
+    parts = []
+    for name, rows in star.tables().items():
+        texts = [f.name for f in TABLES[name].fields if isinstance(f.dataType, StringType)]
+        counts = rows.agg(*[F.count_if(F.length(c) > TEXT_LIMIT).alias(c) for c in texts])
+        lines = [
+            F.struct(F.lit(c).alias("column_name"), F.col(c).alias("violations")) for c in texts
+        ]
+        parts.append(counts.select(F.lit(name).alias("table_name"), F.inline(F.array(*lines))))
+    return _stacked(parts)
+
+
 def rule_violations(star: Star, config: Config) -> DataFrame:
-    """Violations per enforced rule: required columns and dimension keys."""
+    """Violations per rule: required columns, dimension keys and text lengths.
+
+    Lengths are audited only (``enforced`` is false); the others stop a load.
+    """
+    longer = long_texts(star, config).select(
+        "table_name",
+        F.concat(F.lit("length "), "column_name").alias("rule"),
+        "violations",
+        F.lit(False).alias("enforced"),
+    )
     required = required_values(star, config).select(
         "table_name", F.concat(F.lit("required "), "column_name").alias("rule"), "violations"
     )
@@ -121,13 +148,14 @@ def rule_violations(star: Star, config: Config) -> DataFrame:
         )
         for name in ("dim_customers", "dim_products")
     ]
-    return _stacked([required, *keys])
+    enforced = _stacked([required, *keys]).withColumn("enforced", F.lit(True))
+    return enforced.unionByName(longer)
 
 
 def enforce(star: Star, config: Config) -> Star:
     """The star, if it keeps every rule; otherwise an error that names the broken ones."""
     # One row per rule.
-    broken = rule_violations(star, config).where(F.col("violations") > 0).collect()
+    broken = rule_violations(star, config).where("enforced and violations > 0").collect()
     if broken:
         listed = "; ".join(f"{r.table_name}: {r.rule} ({r.violations})" for r in broken)
         raise ValueError(f"broken rules: {listed}")

@@ -9,7 +9,9 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from starmart.schema import QUANTITY_RANGE, TABLES, YEAR_FIELD
 from starmart.sources.storage import write_sales
 
-DAY_FIRST = "dd/MM/yyyy"
+#: Read with or without leading zeros, written with them.
+DAY_FIRST = "d/M/yyyy"
+DAY_FIRST_OUT = "dd/MM/yyyy"
 _RAW = "_raw_line"
 _REJECTED = "rejected"
 
@@ -82,7 +84,7 @@ def export_csv(rows: DataFrame, table: str, path: str) -> None:
         rows.select(*TABLES[table].names)
         .write.mode("overwrite")
         .option("header", True)
-        .option("dateFormat", DAY_FIRST)
+        .option("dateFormat", DAY_FIRST_OUT)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

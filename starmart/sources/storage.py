@@ -13,7 +13,6 @@ from starmart.schema import CUSTOMERS, PRODUCTS, SALES, YEAR_COLUMN, YEAR_FIELD,
 
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
-_work_tables: dict[str, list[tuple[str, StructType]]] = {}
 
 
 def _named_folder(spark: SparkSession) -> str | None:
@@ -48,30 +47,6 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/starmart/{application}/{label}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` as a table in the shared folder.
-
-    Cuts the lineage: what is read back does not change when executors are lost
-    and their tasks run again.
-    """
-    spark = rows.sparkSession
-    path = new_folder(spark, label)
-    rows.write.parquet(path)
-    _work_tables.setdefault(spark.sparkContext.applicationId, []).append((path, rows.schema))
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> int:
-    """Empty the intermediate tables of this application; returns their number.
-
-    To be called when the results built on them have been read or stored.
-    """
-    tables = _work_tables.pop(spark.sparkContext.applicationId, [])
-    for path, schema in tables:
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
-    return len(tables)
-
-
 def write_sales(sales: DataFrame, path: str, extra_folders: tuple[str, ...] = ()) -> None:
     """Replace the whole sales table, one folder per order year.
 

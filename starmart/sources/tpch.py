@@ -9,8 +9,6 @@ sold or replaced by a successor, new, lost and low-spending customers.
 from __future__ import annotations
 
 from datetime import date
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,7 +129,7 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
     amount = F.col("l_extendedprice") / divisor
     rows = (
         _read(spark, folder, "lineitem")
-        .join(_read(spark, folder, "orders"), F.col("l_orderkey") == order)
+        .join(_read(spark, folder, "orders"), F.col("l_orderkey") == order, "left")
         .withColumn("order_date", ordered)
     )
     return _typed(
@@ -163,11 +161,14 @@ def derive(spark: SparkSession, folder: str) -> Star:
     return Star(sales(spark, folder), customers(spark, folder), products(spark, folder))
 
 
-def _state(folder: str) -> tuple:
-    """Time and size of the given tables, where the driver sees them as files."""
-    paths = [Path(folder.removeprefix("file:")) / f"{name}.parquet" for name in _TABLES]
-    found = [path.stat() for path in paths if path.exists()]
-    return tuple((entry.st_mtime_ns, entry.st_size) for entry in found)
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Path, time and size of the files of the given tables, listed by Spark.
+
+    No content is read, and any folder that Spark can read will do.
+    """
+    paths = [f"{folder}/{name}.parquet" for name in _TABLES]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return tuple(sorted(files.select("path", "modificationTime", "length").collect()))
 
 
 def star(spark: SparkSession, folder: str) -> Star:
@@ -179,7 +180,7 @@ def star(spark: SparkSession, folder: str) -> Star:
     """
     if not has_shared_folder(spark):
         return derive(spark, folder)
-    key = (spark.sparkContext.applicationId, folder, _state(folder))
+    key = (spark.sparkContext.applicationId, folder, _state(spark, folder))
     if key not in _published:
         root = new_folder(spark, "star")
         publish(derive(spark, folder), root)

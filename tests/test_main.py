@@ -52,6 +52,25 @@ def test_broken_rules_stop_the_load(spark, tmp_path):
         program.main(["load", str(tmp_path), str(tmp_path / "root")])
 
 
+def test_a_refused_load_leaves_the_store(spark, texts, tmp_path, capsys):
+    root, bad = str(tmp_path / "root"), tmp_path / "bad"
+    program.main(["load", texts, root])
+    s = star(spark, customers=[customer(1), customer(1)], sales=[sale("9", amount=99)])
+    for name, rows in s.tables().items():
+        csv_files.export_csv(rows, name, str(bad / f"{name}.csv"))
+    with pytest.raises(ValueError, match="unique customer_key"):
+        program.main(["load", str(bad), root])
+    program.main(["run", "measure_total_sales", root])
+    assert "17" in capsys.readouterr().out
+
+
+def test_rows_to_show(spark, texts, tmp_path, capsys):
+    root = str(tmp_path / "root")
+    program.main(["load", texts, root])
+    program.main(["run", "dq_required", root, "--rows", "1"])
+    assert "only showing top 1 row" in capsys.readouterr().out
+
+
 def test_names_are_listed(capsys):
     program.main(["list"])
     assert capsys.readouterr().out.split() == list(OPERATORS)
