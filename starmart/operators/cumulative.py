@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from starmart.config import Config
 from starmart.functions.semantics import dated, whole_mean, whole_ratio
-from starmart.operators.spread import repeated, running_sum
 from starmart.schema import Star
 
 
@@ -56,20 +55,40 @@ def year_to_date(star: Star, config: Config) -> DataFrame:
 def customer_spend(star: Star, config: Config) -> DataFrame:
     """Spend of every customer up to and including each sales row.
 
-    Rows of one customer, day and order share their total, so they are summed
-    to one row first and repeated at the end. The running total in between is
-    cut into slices: no task holds all sales of a customer.
+    A row's total is what the customer had spent before that day, from a window
+    over day totals that the calendar bounds, plus the day's orders so far. No
+    task holds more of a customer's sales than one day of them. Unknown customers
+    are one group; the two key columns stand for it, so that both sides of the
+    join share the shuffle of the window.
     """
-    orders = (
-        dated(star.sales)
-        .groupBy("customer_key", "order_date", "order_number")
-        .agg(F.sum("sales_amount").alias("amount"), F.count(F.lit(1)).alias("lines"))
+    key = ["spender", "known", "order_date"]
+    sales = dated(star.sales).select(
+        "customer_key",
+        F.coalesce("customer_key", F.lit(0)).alias("spender"),
+        F.col("customer_key").isNotNull().alias("known"),
+        "order_date",
+        "order_number",
+        "sales_amount",
+    )
+    earlier = (
+        Window.partitionBy("spender", "known")
+        .orderBy("order_date")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    opening = (
+        sales.groupBy(*key)
+        .agg(F.sum("sales_amount").alias("day_total"))
+        .select(*key, F.sum("day_total").over(earlier).alias("opening"))
     )
-    totals = running_sum(
-        orders, "amount", "cumulative_spend", "customer_key", ["order_date", "order_number"]
-    ).drop("amount")
-    return repeated(totals, "lines").select(
-        "customer_key", "order_date", "order_number", "cumulative_spend"
+    # Rows of one order are peers: the frame ends with the last of them.
+    today = F.sum("sales_amount").over(Window.partitionBy(*key).orderBy("order_number"))
+    spent = F.when(F.col("opening").isNull(), F.col("today")).otherwise(
+        F.col("opening") + F.coalesce("today", F.lit(0))
+    )
+    return (
+        sales.withColumn("today", today)
+        .join(opening, key)
+        .select("customer_key", "order_date", "order_number", spent.alias("cumulative_spend"))
     )
 
 

@@ -19,7 +19,6 @@ from starmart.operators.known import orders_by_known_customer
 from starmart.operators.magnitude import (
     amount_by_customer,
     amount_by_product,
-    customer_revenue,
     per_key,
 )
 from starmart.operators.spread import rank_descending
@@ -52,41 +51,33 @@ def _leading(
     return rows.join(F.broadcast(highest), reduce(and_, matches)).select(*rows.columns, name)
 
 
-def _customers_in_year(star: Star, config: Config) -> DataFrame:
+def _customers_in_year(star: Star, config: Config, name: str, dense: bool) -> DataFrame:
+    """The leading known customers of one year; names are looked up for these only."""
     # The year is fixed before the ranking, so only its sales are read.
     year = within(star.sales, *year_bounds(config.ranking_year))
-    return (
+    revenue = (
         amount_by_customer(Star(year, star.customers, star.products))
-        .join(star.customers.select("customer_key", "first_name", "last_name"), "customer_key")
-        .select(
-            F.lit(config.ranking_year).alias("sales_year"),
-            "customer_key",
-            "first_name",
-            "last_name",
-            F.col("amount").alias("total_revenue"),
-        )
+        .join(star.customers.select("customer_key"), "customer_key", "left_semi")
+        .select("customer_key", F.col("amount").alias("total_revenue"))
+    )
+    leading = _leading(revenue, [], "total_revenue", name, config.top_customers, dense)
+    person = star.customers.select("customer_key", "first_name", "last_name")
+    return leading.join(person, "customer_key").select(
+        F.lit(config.ranking_year).alias("sales_year"),
+        "customer_key",
+        "first_name",
+        "last_name",
+        "total_revenue",
+        name,
     )
 
 
 def customers_in_year(star: Star, config: Config) -> DataFrame:
-    return _leading(
-        _customers_in_year(star, config),
-        ["sales_year"],
-        "total_revenue",
-        "rank_customers",
-        config.top_customers,
-    )
+    return _customers_in_year(star, config, "rank_customers", dense=False)
 
 
 def customers_in_year_dense(star: Star, config: Config) -> DataFrame:
-    return _leading(
-        _customers_in_year(star, config),
-        ["sales_year"],
-        "total_revenue",
-        "dense_rank_customers",
-        config.top_customers,
-        dense=True,
-    )
+    return _customers_in_year(star, config, "dense_rank_customers", dense=True)
 
 
 def _product_profit_by_year(star: Star) -> DataFrame:
@@ -138,7 +129,7 @@ def products_by_profit(star: Star, config: Config) -> DataFrame:
         .groupBy("product_name")
         .agg((F.sum("amount") - F.sum(F.col("cost") * F.col("units"))).alias("profit"))
     )
-    return rank_descending(profit, "profit", "rank_profit", unique=["product_name"])
+    return rank_descending(profit, "profit", "rank_profit")
 
 
 def products_in_quarter(star: Star, config: Config) -> DataFrame:
@@ -151,9 +142,7 @@ def products_in_quarter(star: Star, config: Config) -> DataFrame:
         .groupBy("quarter", "product_name")
         .agg(F.sum("amount").alias("total_revenue"))
     )
-    return rank_descending(
-        revenue, "total_revenue", "rank_in_quarter", unique=["product_name"], by=["quarter"]
-    )
+    return rank_descending(revenue, "total_revenue", "rank_in_quarter", by=["quarter"])
 
 
 def _ranked_groups(star: Star, attribute: str, name: str) -> DataFrame:
@@ -213,10 +202,21 @@ def bottom_products(star: Star, config: Config) -> DataFrame:
 
 
 def top_customers(star: Star, config: Config) -> DataFrame:
+    """Names are looked up after the list is cut; unknown customers are one row."""
+    known = star.customers.select(F.col("customer_key").alias("known_key"))
+    highest = (
+        amount_by_customer(star)
+        .join(known, F.col("customer_key") == F.col("known_key"), "left")
+        .groupBy("known_key")
+        .agg(F.sum("amount").alias("total_revenue"))
+        .orderBy(F.desc("total_revenue"), "known_key")
+        .limit(config.top_customers)
+    )
+    person = star.customers.select("customer_key", "first_name", "last_name")
     return (
-        customer_revenue(star)
+        highest.join(person, F.col("known_key") == F.col("customer_key"), "left")
+        .select("customer_key", "first_name", "last_name", "total_revenue")
         .orderBy(F.desc("total_revenue"), "customer_key")
-        .limit(config.top_customers)
     )
 
 

@@ -35,8 +35,10 @@ def sales_by_category(star: Star, config: Config) -> DataFrame:
 def orders_by_category(star: Star, config: Config) -> DataFrame:
     """Share of all orders; an order with several categories counts in each."""
     overall = star.sales.agg(F.count_distinct("order_number")).scalar()
+    # One row per product and order meets the join, however many lines there are.
+    pairs = star.sales.select("product_key", "order_number").distinct()
     return (
-        star.sales.join(_categorised(star), "product_key")
+        pairs.join(_categorised(star), "product_key")
         .groupBy("category")
         .agg(F.count_distinct("order_number").alias("total_orders"))
         .withColumn("true_overall_orders", overall)
@@ -51,8 +53,9 @@ def customer_penetration(star: Star, config: Config) -> DataFrame:
     """Share of all buyers per category; unsold categories show 0%."""
     overall = star.sales.agg(F.count_distinct("customer_key")).scalar()
     placed = _categorised(star)
+    pairs = star.sales.select("product_key", "customer_key").distinct()
     buyers = (
-        star.sales.join(placed, "product_key")
+        pairs.join(placed, "product_key")
         .groupBy("category")
         .agg(F.count_distinct("customer_key").alias("buyers"))
     )

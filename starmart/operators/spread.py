@@ -1,161 +1,60 @@
-"""Ranks and running totals over groups too large for one task.
+"""Ranks over groups too large for one task.
 
-A window function needs its whole group in one task. The operators here cut the
-sorted rows into range slices first, solve every slice by itself, and shift the
-results by what the slices before it hold. A slice boundary may fall inside a
-group and even inside a run of equal values. Range boundaries are sampled, so
-the sliced rows are written once and both passes read that table. Only one row
-per slice (and per group that starts in it) is broadcast.
+A window function needs its whole group in one task. Here rows are first reduced
+to distinct values and their numbers, so a run of ties is one row; the values are
+cut at fixed boundaries into slices, each slice is ranked by itself and shifted by
+the rows of the slices before it. Rows then look their rank up by value.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starmart.sources.storage import written
-
-_BLOCK = 10_000
+SLICES = 64
 
 
-def _sliced(rows: DataFrame, by: list[str], *order) -> DataFrame:
-    """Rows in ranges of (``by``, ``order``), tagged with the number of their range.
+def boundaries(values: DataFrame, value: str, slices: int = SLICES) -> list:
+    """At most ``slices`` - 1 values that cut ``values`` into about equal parts.
 
-    The second cut keeps slices whole and gives every task about as many rows;
-    hashing the few slice numbers would put several slices into one task.
+    One small job; what it returns is bounded, and used as literals, so the slice
+    of a row depends on nothing but the row.
     """
-    ranges = rows.repartitionByRange(*by, *order)
-    return ranges.withColumn("_slice", F.spark_partition_id()).repartitionByRange("_slice", *by)
-
-
-def _at_slice(names: list[str]):
-    """Join condition between sliced rows and their slice summary."""
-    condition = F.col("_slice") == F.col("_at")
-    for name in names:
-        condition = condition & F.col(name).eqNullSafe(F.col(f"_of_{name}"))
-    return condition
+    shares = [i / slices for i in range(1, slices)]
+    found = values.agg(F.percentile_approx(value, shares, 10 * slices)).first()[0]
+    return sorted(set(found or []))
 
 
 def rank_descending(
-    rows: DataFrame, value: str, name: str, unique: list[str], by: list[str] | None = None
+    rows: DataFrame, value: str, name: str, by: list[str] | None = None
 ) -> DataFrame:
-    """``RANK`` by ``value`` from high to low, within ``by``; NULLs come last.
-
-    ``unique`` identifies a row within ``by``; it lets a long run of ties be cut.
-    """
+    """``RANK`` by ``value`` from high to low, within ``by``; NULLs come last."""
     by = by or []
-    order = F.col(value).desc()
-    inside = Window.partitionBy("_slice", *by).orderBy(order)
-    local = written(
-        _sliced(rows, by, order, *unique).withColumn(
-            "_rank", F.rank().over(inside).cast("bigint")
-        ),
-        "ranked",
+    distinct = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_rows"))
+    bounds = boundaries(distinct, value)
+    # Higher values have lower slice numbers; NULLs have the last.
+    below = sum((F.col(value) <= F.lit(b)).cast("int") for b in bounds) if bounds else F.lit(0)
+    sliced = distinct.withColumn("_slice", F.coalesce(below, F.lit(len(bounds) + 1)))
+
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    unbounded = Window.unboundedPreceding
+    # At most one row per slice and group.
+    starts = (
+        sliced.groupBy(*by, "_slice")
+        .agg(F.sum("_rows").alias("_held"))
+        .withColumn("_before", F.sum("_held").over(group.orderBy("_slice").rowsBetween(unbounded, -1)))
+        .select(*[F.col(c).alias(f"_of_{c}") for c in [*by, "_slice"]], "_before")
     )
-
-    chain = Window.partitionBy(F.lit(0), *by).orderBy("_slice")
-    earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        local.groupBy("_slice", *by)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.max("_rank").alias("_last_rank"),
-            F.min_by(value, "_rank").alias("_first_value"),
-            F.max_by(value, "_rank").alias("_last_value"),
-        )
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .withColumn(
-            "_continues",
-            F.lag("_slice").over(chain).isNotNull()
-            & F.lag("_last_value").over(chain).eqNullSafe(F.col("_first_value")),
-        )
-        # Rank of the value a slice ends with, unless that value began earlier.
-        .withColumn(
-            "_opened",
-            F.when(
-                ~(F.col("_continues") & (F.col("_last_rank") == 1)),
-                F.col("_before") + F.col("_last_rank"),
-            ),
-        )
-        .withColumn("_open_rank", F.last("_opened", ignorenulls=True).over(earlier))
-        .select(
-            F.col("_slice").alias("_at"),
-            *[F.col(c).alias(f"_of_{c}") for c in by],
-            "_before",
-            "_continues",
-            "_open_rank",
-        )
-    )
-
-    # At most one row per slice plus one per group: bounded by the partition count.
-    joined = local.join(F.broadcast(slices), _at_slice(by))
-    carried = F.col("_continues") & (F.col("_rank") == 1)
-    rank = F.when(carried, F.col("_open_rank")).otherwise(F.col("_before") + F.col("_rank"))
-    return joined.select(*rows.columns, rank.alias(name))
-
-
-def running_sum(rows: DataFrame, value: str, name: str, by: str, order: list[str]) -> DataFrame:
-    """Running total of ``value`` within ``by``; ``by`` and ``order`` identify a row."""
-    # Both frames share one sort and one buffer; no two rows are peers.
-    inside = Window.partitionBy("_slice", by).orderBy(*order)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = written(
-        _sliced(rows, [by], *order)
-        .withColumns({"_running": F.sum(value).over(so_far), "_total": F.sum(value).over(whole)}),
-        "running",
-    )
-
-    # NULL keys sort first, so a slice that holds one begins with it.
-    holds_null = F.count(F.lit(1)) > F.count(by)
-    edges = local.groupBy("_slice").agg(
-        F.when(~holds_null, F.min(by)).alias("_first"),
-        F.max(by).alias("_last"),
-        F.when(F.count(by) == 0, F.max("_total"))
-        .otherwise(F.max_by("_total", by))
-        .alias("_last_total"),
-    )
-    chain = Window.partitionBy(F.lit(0)).orderBy("_slice")
-    slices = (
-        edges.withColumn(
-            "_so_far", F.sum("_last_total").over(Window.partitionBy("_last").orderBy("_slice"))
-        )
-        .withColumn("_held", F.lag("_so_far").over(chain))
-        .withColumn(
-            "_continues",
-            F.lag("_slice").over(chain).isNotNull()
-            & F.lag("_last").over(chain).eqNullSafe(F.col("_first")),
-        )
-        .where("_continues")
-        .select(F.col("_slice").alias("_at"), F.col("_first").alias(f"_of_{by}"), "_held")
-    )
-
-    # At most one row per slice.
-    joined = local.join(F.broadcast(slices), _at_slice([by]), "left")
-    total = F.when(F.col("_held").isNull(), F.col("_running")).otherwise(
-        F.col("_held") + F.coalesce("_running", F.lit(0))
-    )
-    return joined.select(*rows.columns, total.alias(name))
-
-
-def repeated(rows: DataFrame, copies: str) -> DataFrame:
-    """Every row ``copies`` times.
-
-    Long runs are cut into blocks, the blocks are spread over tasks, and each
-    block is filled there. Neither list is longer than the root of the run (or
-    ``_BLOCK``).
-    """
-    count, block = F.col(copies), F.col("_block")
-    one = F.lit(1).cast("bigint")
-    step = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(count))).cast("bigint")
-    few = rows.where(count <= _BLOCK).withColumn("_copy", F.explode(F.sequence(one, count)))
-    many = (
-        rows.where(count > _BLOCK)
-        .withColumn("_block", F.explode(F.sequence(one, count, step)))
-        .repartition(*rows.columns, "_block")
-        .withColumn(
-            "_copy", F.explode(F.sequence(block, F.least(block + step - 1, count)))
-        )
-        .drop("_block")
+    inside = Window.partitionBy(*by, "_slice").orderBy(F.col(value).desc())
+    ranked = sliced.withColumn("_above", F.sum("_rows").over(inside.rowsBetween(unbounded, -1)))
+    at_start = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_slice"]]
+    zero = F.lit(0)
+    ranks = ranked.join(starts, reduce(and_, at_start)).select(
+        *[F.col(c).alias(f"_at_{c}") for c in [*by, value]],
+        (F.coalesce("_before", zero) + F.coalesce("_above", zero) + 1).alias(name),
     )
-    return few.unionByName(many).drop("_copy", copies)
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*by, value]]
+    return rows.join(ranks, reduce(and_, same)).select(*rows.columns, name)

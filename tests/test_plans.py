@@ -92,25 +92,49 @@ def test_sales_are_reduced_before_they_meet_a_dimension(stored, capsys):
     assert any("HashAggregate" in line for line in tree.splitlines()[join + 1 :])
 
 
+@pytest.mark.parametrize("name", ["share_orders_by_category", "share_customer_penetration"])
+def test_pairs_are_distinct_before_they_meet_the_catalogue(stored, capsys, name):
+    rows = OPERATORS[name](stored, CONFIG)
+    capsys.readouterr()
+    rows.explain()
+    lines = capsys.readouterr().out.splitlines()
+    sold = next(i for i, x in enumerate(lines) if "Scan parquet" in x and "product_key" in x and "category" not in x)
+    above = [x for x in lines[:sold] if "HashAggregate" in x or "Join" in x]
+    assert "HashAggregate(keys=[product_key" in above[-1] and "HashAggregate" in above[-2]
+
+
 def test_product_units_use_two_shuffles(stored, capsys):
     tree = plan(OPERATORS["cum_product_units"](stored, CONFIG), capsys).split("\n\n")[0]
     assert len(re.findall(r"Exchange", tree)) == 2
 
 
-@pytest.mark.parametrize(
-    "name", ["rank_products_profit", "rank_products_in_quarter", "cum_customer_spend"]
-)
-def test_only_slice_summaries_are_brought_together(stored, capsys, name):
+def test_spend_windows_hold_a_day_or_the_calendar(stored, capsys):
+    """Rows meet by customer and day; only day totals are brought together by customer."""
+    tree = plan(OPERATORS["cum_customer_spend"](stored, CONFIG), capsys).split("\n\n")[0]
+    rows = OPERATORS["cum_customer_spend"](stored, CONFIG)
+    rows.explain()
+    lines = capsys.readouterr().out.splitlines()
+    windows = [re.search(r"\], \[(spender.*?)\], \[(\w+)", x) for x in lines if "Window [" in x]
+    parts = sorted((re.sub(r"#\d+L?", "", w[1]), w[2]) for w in windows)
+    assert parts == [
+        ("spender, known", "order_date"),
+        ("spender, known, order_date", "order_number"),
+    ]
+    assert "SinglePartition" not in "".join(lines) and len(re.findall("Scan parquet", tree)) == 2
+
+
+@pytest.mark.parametrize("name", ["top10_customers", "rank_customers_in_year"])
+def test_names_are_joined_to_the_short_list(stored, capsys, name):
     rows = OPERATORS[name](stored, CONFIG)
     capsys.readouterr()
     rows.explain()
     lines = capsys.readouterr().out.splitlines()
-    single = [i for i, line in enumerate(lines) if "SinglePartition" in line]
-    for i in single:
-        below = next(line for line in lines[i:] if "HashAggregate" in line)
-        assert re.search(r"keys=\[_slice", below)
-    # Rows themselves only meet the broadcast summary.
-    assert "BroadcastHashJoin" in "".join(lines) and "SortMergeJoin" not in "".join(lines)
+    names = next(i for i, line in enumerate(lines) if "Scan parquet" in line and "first_name" in line)
+    joins = [line for line in lines[:names] if "Join" in line]
+    cut = [i for i, line in enumerate(lines) if "TakeOrdered" in line or "GlobalLimit" in line]
+    assert len(joins) >= 1 and cut
+    below = [line for line in lines if "Scan parquet" in line and "first_name" in line]
+    assert len(below) == 1
 
 
 @pytest.mark.parametrize(
@@ -118,13 +142,16 @@ def test_only_slice_summaries_are_brought_together(stored, capsys, name):
     [
         "mag_orders_by_country",
         "share_orders_by_category",
-        "share_customer_penetration",
         "bottom3_customers_orders",
         "customer_behavior",
     ],
 )
-def test_hot_keys_are_split_when_dimensions_are_large(spark, stored, capsys, name):
-    """With every join shuffled and a third of the rows on one key, joins split it."""
+@pytest.mark.parametrize("hot_key", [42, -42, None])
+def test_hot_keys_are_split_when_dimensions_are_large(spark, stored, capsys, name, hot_key):
+    """With every join shuffled and a third of the rows on one key, joins split it.
+
+    The key is a known one, one that no dimension has, or NULL.
+    """
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -136,7 +163,7 @@ def test_hot_keys_are_split_when_dimensions_are_large(spark, stored, capsys, nam
     sales = tpch.star(spark, f"{DATA}/sf0.01").sales
     draw = F.pmod(F.xxhash64("order_number", "product_key", "price"), F.lit(3))
     hot = sales.withColumn(
-        "customer_key", F.when(draw == 0, F.lit(42)).otherwise(F.col("customer_key"))
+        "customer_key", F.when(draw == 0, F.lit(hot_key)).otherwise(F.col("customer_key"))
     ).withColumn("product_key", F.when(draw == 1, F.lit(77)).otherwise(F.col("product_key")))
     skewed = Star(hot, stored.customers, stored.products)
     before = {key: spark.conf.get(key, None) for key in settings}

@@ -1,4 +1,4 @@
-"""Sliced ranks and running totals against plain windows.
+"""Sliced ranks against plain windows.
 
 Partition coalescing is off, so that even small inputs are cut into slices.
 """
@@ -38,56 +38,22 @@ def test_rank_equals_window(spark, seed, distinct, hot):
     for by in ([], ["g"]):
         plain = Window.partitionBy(F.lit(0), *by).orderBy(F.desc("v"))
         expected = rows.withColumn("r", F.rank().over(plain).cast("bigint"))
-        actual = spread.rank_descending(rows, "v", "r", unique=["k"], by=by)
+        actual = spread.rank_descending(rows, "v", "r", by=by)
         assert actual.columns == expected.columns
         assert sorted(actual.collect(), key=repr) == sorted(expected.collect(), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(5))
-@pytest.mark.parametrize("hot", [0.0, 0.34, 0.9, 1.0])
-def test_running_sum_equals_window(spark, seed, hot):
-    draw = random.Random(seed)
-    rows = []
-    for key in range(2000):
-        owner = 5 if draw.random() < hot else draw.choice([None, *range(40)])
-        rows.append((owner, draw.randrange(30), key, draw.choice([None, *range(9)])))
-    rows = spark.createDataFrame(rows, "c bigint, d int, k int, v bigint")
-    plain = Window.partitionBy("c").orderBy("d", "k")
-    expected = rows.withColumn("s", F.sum("v").over(plain))
-    actual = spread.running_sum(rows, "v", "s", "c", ["d", "k"])
-    assert sorted(actual.collect(), key=repr) == sorted(expected.collect(), key=repr)
-
-
-def test_null_owner_that_fills_slices(spark):
-    rows = spark.range(1000).select(
-        F.when(F.col("id") > 800, F.col("id") % 3).alias("c"), F.col("id").alias("k"),
-        F.lit(1).cast("bigint").alias("v"),
-    )
-    plain = Window.partitionBy("c").orderBy("k")
-    expected = rows.withColumn("s", F.sum("v").over(plain))
-    actual = spread.running_sum(rows, "v", "s", "c", ["k"])
-    assert sorted(actual.collect(), key=repr) == sorted(expected.collect(), key=repr)
-
-
-def test_slices_are_cut_inside_one_group(spark):
-    rows = spark.range(4000).select(F.lit(1).alias("c"), F.col("id").alias("k"))
-    sizes = spread._sliced(rows, ["c"], "k").groupBy("_slice").count().collect()
-    assert len(sizes) > 4 and max(r["count"] for r in sizes) < 2000
-
-
-def test_repeated_copies_every_row(spark, monkeypatch):
-    monkeypatch.setattr(spread, "_BLOCK", 4)
-    wanted = {"a": 1, "b": 4, "c": 5, "d": 13, "e": 16, "f": 17, "g": 1000}
-    rows = spark.createDataFrame(list(wanted.items()), "k string, n bigint")
-    copies = spread.repeated(rows, "n")
-    assert copies.columns == ["k"]
-    assert {r["k"]: r["count"] for r in copies.groupBy("k").count().collect()} == wanted
-
-
-def test_a_very_long_run_is_spread(spark):
-    rows = spark.createDataFrame([("a", 3_000_000)], "k string, n bigint")
-    sizes = [
-        r["count"]
-        for r in spread.repeated(rows, "n").groupBy(F.spark_partition_id()).count().collect()
-    ]
-    assert sum(sizes) == 3_000_000 and max(sizes) < 1_500_000
+def test_boundaries_are_few_and_sorted(spark):
+    rows = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("v"))
+    bounds = spread.boundaries(rows, "v")
+    assert 32 < len(bounds) < spread.SLICES and bounds == sorted(bounds)
+    assert spread.boundaries(rows.where("v < 0"), "v") == []
+
+
+def test_nothing_is_written(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.parquet", refused)
+    rows = _ranked_input(spark, 1, 50, 0.4)
+    assert spread.rank_descending(rows, "v", "r").count() == 2000
