@@ -1,0 +1,230 @@
+"""Each method against a plain one, on small inputs."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from starmart.llm import (
+    language_id,
+    mixing,
+    ngram_join,
+    rule_ensemble,
+    sentencepiece_fst,
+    sharding,
+    toxicity,
+    winnowing,
+)
+
+
+def test_ngram_features_of_a_cut_text(monkeypatch):
+    text = "".join(random.Random(1).choices("abc é", k=500))
+    whole = toxicity.features(text)
+    monkeypatch.setattr(toxicity, "CHUNK", 37)
+    assert np.array_equal(toxicity.features(text), whole)
+
+
+def test_margins_count_each_ngram_once():
+    weights = np.zeros(1 << toxicity.BITS, np.float32)
+    found = toxicity.features("abcabcabcabc")
+    weights[found] = 1
+    model = toxicity.Model(weights, -2.0)
+    assert toxicity.margins(["abcabcabcabc", "zzzzzzzz", "abcabcabcabc" * 9], model)[:2].tolist() == [
+        len(found) - 2,
+        -2,
+    ]
+
+
+def test_forward_backward_is_the_sum_over_all_paths():
+    rng = np.random.default_rng(0)
+    labels, lengths = 3, [4, 2, 1]
+    found = language_id.Chains(
+        [str(i) for i in range(7)], np.arange(7), np.array([0, 4, 6]), np.array(lengths), np.arange(3)
+    )
+    emission, step = rng.normal(size=(7, labels)), rng.normal(size=(labels, labels))
+    gamma, expected = language_id.forward_backward(found, emission, step)
+    wanted, pairs = np.zeros((7, labels)), np.zeros((labels, labels))
+    for start, n in zip(found.start, lengths, strict=True):
+        paths = np.stack(np.meshgrid(*[range(labels)] * n, indexing="ij"), -1).reshape(-1, n)
+        score = np.array(
+            [
+                sum(emission[start + t, p[t]] for t in range(n))
+                + sum(step[p[t], p[t + 1]] for t in range(n - 1))
+                for p in paths
+            ]
+        )
+        share = np.exp(score - score.max())
+        share /= share.sum()
+        for p, w in zip(paths, share, strict=True):
+            for t in range(n):
+                wanted[start + t, p[t]] += w
+            for t in range(n - 1):
+                pairs[p[t], p[t + 1]] += w
+    assert np.allclose(gamma, wanted)
+    assert np.allclose(expected, pairs)
+
+
+def test_switched_lines_get_their_own_labels():
+    model = language_id.fit_rows(["the cat and the dog", "der hund und die katze"] * 5, ["en", "de"] * 5)
+    found, gamma = language_id.label_words(["the dog and the cat\nder hund und die katze"], model)
+    named = [model.labels[i] for i in gamma.argmax(axis=1)]
+    assert named == ["en"] * 5 + ["de"] * 5
+
+
+def test_rules_compile_to_what_was_fitted(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["word", "ab", "C!", "##", "x\n", "9"], k=rng.randint(0, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    measured = docs.select("doc_id", rule_ensemble.statistics(F.col("text")).alias("s"))
+    rows = sorted(measured.select("doc_id", "s.*").collect())
+    x = np.array([list(row)[1:] for row in rows])
+    label = (x[:, rule_ensemble.STATISTICS.index("upper_share")] < 0.1).astype(float)
+    ensemble = rule_ensemble.fit_rows(x, label)
+    assert 0 < len(ensemble.rules) < 300
+    margin = ensemble.bias + sum(r.weight * rule_ensemble.holds(r.conditions, x) for r in ensemble.rules)
+    plain = 1 / (1 + np.exp(-margin))
+    scored = measured.withColumn("score", rule_ensemble.compiled(ensemble, F.col("s")))
+    found = [r["score"] for r in sorted(scored.collect(), key=lambda r: r["doc_id"])]
+    assert np.allclose(found, plain)
+    assert ((plain >= 0.5) == (label == 1)).mean() > 0.95
+
+
+def _winnow(words, gram, window, hash_of):
+    if not words:
+        return []
+    grams = [hash_of(words[i : i + gram]) for i in range(max(1, len(words) - gram + 1))]
+    out = []
+    for start in range(max(1, len(grams) - window + 1)):
+        span = grams[start : start + window]
+        least = min(span)
+        at = start + max(i for i, h in enumerate(span) if h == least)
+        if not out or out[-1] != (at, least):
+            out.append((at, least))
+    return out
+
+
+def test_winnowing_against_plain_code(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcd", k=n)) for n in [0, 1, 4, 5, 6, 11, 12, 13, 40, 200]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    prints = docs.select("doc_id", winnowing.fingerprint(F.col("text")).alias("p")).collect()
+    lists = {" ".join(t.split()[i : i + 5]) for t in texts for i in range(len(t.split()))}
+    runs = spark.createDataFrame([(g,) for g in sorted(lists)], "g string")
+    word = F.transform(F.split("g", " "), lambda w: F.xxhash64(w))
+    five = F.xxhash64(*[F.get(F.col("w"), i) for i in range(5)])
+    table = {
+        r["g"]: r["h"]
+        for r in runs.withColumn("w", word)
+        .select("g", F.when(F.size("w") == 5, five).otherwise(F.xxhash64("w")).alias("h"))
+        .collect()
+    }
+    for row in prints:
+        plain = _winnow(texts[row["doc_id"]].split(), 5, 8, lambda words: table[" ".join(words)])
+        assert [(-x["back"], x["hash"]) for x in row["p"]] == plain
+
+
+def test_shared_runs_are_always_found(spark):
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(winnowing.GRAM + winnowing.WINDOW - 1)]
+    rows = [
+        (i, " ".join([f"u{i}_{j}" for j in range(rng.randint(0, 30))] + shared + [f"v{i}_{j}" for j in range(rng.randint(0, 30))]))
+        for i in range(20)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = docs.select(winnowing.hashes(winnowing.fingerprint(F.col("text"))).alias("h")).collect()
+    for a, b in zip(found, found[1:], strict=False):
+        assert set(a["h"]) & set(b["h"])
+
+
+def test_slots_move_only_as_needed(spark, tmp_path):
+    rng = random.Random(2)
+    sizes = [rng.randint(0, 1000) for _ in range(2000)]
+    first = sharding.SlotMap.first(2000, 10)
+    second = first.rebalanced(sizes)
+    load = Counter()
+    for slot, shard in enumerate(second.shard_of):
+        load[shard] += sizes[slot]
+    assert max(load.values()) - min(load.values()) <= max(sizes)
+    moved = sum(a != b for a, b in zip(first.shard_of, second.shard_of, strict=True))
+    assert 0 < moved < 400
+    assert second.rebalanced(sizes).shard_of == second.shard_of or second.version == 2
+    grown = second.rebalanced(sizes, shards=11)
+    assert sum(b == 10 for b in grown.shard_of) > 0
+    for version in (first, second, grown):
+        version.save(spark, str(tmp_path / "maps"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "maps")) == grown
+    assert sharding.SlotMap.load(spark, str(tmp_path / "maps"), 1) == first
+
+
+def test_unequal_probabilities_are_met_on_average(spark):
+    rows = [("g", i, i * 7919 + 1, 10, 0.2 if i % 2 else 1.7) for i in range(400)]
+    docs = spark.createDataFrame(rows, "group string, doc_id bigint, key bigint, size bigint, expected double")
+    seen = Counter()
+    for seed in range(3):
+        copies = mixing.pareto_sample(docs, seed=seed, buckets=64).collect()
+        assert sum(r["copies"] for r in copies) == pytest.approx(sum(r[4] for r in rows), abs=1)
+        for r in copies:
+            assert r["copies"] in ((0, 1) if r["doc_id"] % 2 else (1, 2))
+            seen[r["doc_id"] % 2] += r["copies"]
+    assert seen[1] / 600 == pytest.approx(0.2, abs=0.06)
+    assert seen[0] / 600 == pytest.approx(1.7, abs=0.06)
+
+
+def test_shingles_of_bytes():
+    texts = ["", " \n", "A b c d e f", "a B c d e f ", "one", "ONE", "é É", "a b c d e a b c d e a b c d e"]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    sets = ngram_join.shingles(np.frombuffer(b"".join(data), np.uint8), offsets)
+    assert [len(s) for s in sets] == [0, 0, 2, 2, 1, 1, 1, 5]
+    assert np.array_equal(sets[2], sets[3]) and np.array_equal(sets[4], sets[5])
+    for text, tokens in zip(data, sets, strict=True):
+        alone = ngram_join.shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        assert np.array_equal(alone, tokens)
+
+
+def test_connect_long_chains(spark):
+    edges = [(i + 1, i) for i in range(50)] + [(200, 100), (150, 100), (150, 120)]
+    found = ngram_join.connect(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    assert {r["u"]: r["v"] for r in found} == {
+        **dict.fromkeys(range(1, 51), 0),
+        **dict.fromkeys((120, 150, 200), 100),
+    }
+
+
+@pytest.fixture(scope="module")
+def machines():
+    return sentencepiece_fst.compile_model()
+
+
+def test_paths_are_those_of_the_library(machines):
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL)
+    rng, pairs = random.Random(4), sentencepiece_fst.Pairs(machines)
+    letters = "  abcdeinrstü\n\té中文😀<0x>▁"
+    texts = ["", " ", "   ", "a" * 300, " " * 99, "<0x0A>", "日本語" * 60]
+    texts += ["".join(rng.choices(letters, k=rng.randint(1, 80))) for _ in range(300)]
+    for text, ids in zip(texts, sentencepiece_fst.encode_texts(machines, pairs, texts), strict=True):
+        assert ids.tolist() == model.encode(text), text
+
+
+def test_at_most_one_path_has_a_finite_weight(machines):
+    pairs = sentencepiece_fst.Pairs(machines)
+
+    def paths(word, before=None):
+        if not word:
+            yield []
+        for n in range(1, min(len(word), machines.longest) + 1):
+            piece = machines.ids.get(word[:n])
+            if piece is None or not machines.usable[piece]:
+                continue
+            if before is not None and not pairs.accepted(np.array([before], np.int32), np.array([piece], np.int32))[0]:
+                continue
+            for rest in paths(word[n:], piece):
+                yield [piece, *rest]
+
+    for word in ("▁the", "▁entertain", "▁banana", "▁aaaaaaa", "▁Straßenbahn"):
+        assert list(paths(word)) == [sentencepiece_fst.shortest_path(machines, pairs, word)]
