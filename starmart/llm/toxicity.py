@@ -111,15 +111,15 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1e-3) ->
     if not positive.any() or positive.all():
         share = (positive.sum() + 0.5) / (len(label) + 1)
         return Model(weights, float(np.log(share / (1 - share))))
-    sizes = np.array([len(r) for r in rows])
-    flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    p = np.bincount(flat[positive[of]], minlength=1 << BITS)
-    q = np.bincount(flat, minlength=1 << BITS) - p
+    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for found, is_positive in zip(rows, positive, strict=True):
+        (p if is_positive else q)[found] += 1
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
     used = np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / (p + 1) + 1 / (q + 1))
-    some = used[flat]
+    kept = [found[used[found]] for found in rows]
+    row = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
     place = np.cumsum(used) - 1
-    column, row = place[flat[some]], of[some]
+    column = place[np.concatenate(kept)]
     r = ratio[used]
     values = r[column]
 
@@ -143,20 +143,28 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1e-3) ->
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """The model of a bounded sample: at most ``rows`` labelled rows.
 
-    Rows whose crc32 of the id modulo 5 is 0 are held out and never learned from.
+    One task learns from the sample and returns the table of weights. Rows whose crc32 of the id modulo 5 is 0 are held out and never learned from.
     """
     eligible = sampling.labelled(labels, label).where(id_remainder(F.col("doc_id"), 5) != 0)
     sample = sampling.bounded(docs, eligible, rows, SAMPLE_CHARS)
 
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            packed = [features(text).tobytes() for text in frame["text"]]
-            yield pd.DataFrame({"label": frame["label"], "packed": packed})
-
-    found = sample.select("doc_id", "label", "text").mapInPandas(extract, "label int, packed binary")
-    collected = found.toPandas()
-    lists = [np.frombuffer(x, np.int32) for x in collected["packed"]]
-    return fit_rows(lists, collected["label"].to_numpy())
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [
+            (doc_id, label, features(text))
+            for frame in frames
+            for doc_id, label, text in frame.itertuples(index=False)
+        ]
+        found.sort(key=lambda row: row[0])
+        model = fit_rows([f for _, _, f in found], np.array([y for _, y, _ in found], int))
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    learned = sample.select("doc_id", "label", "text").repartition(1).mapInPandas(
+        learn, "weights binary, bias double"
+    )
+    row = learned.first()
+    if row is None:  # nothing to learn from
+        return fit_rows([], np.empty(0, int))
+    return Model(np.frombuffer(row["weights"], np.float32), row["bias"])
 
 
 def score(text: Column, model: Model) -> Column:
