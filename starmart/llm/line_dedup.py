@@ -128,11 +128,12 @@ def dedup(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> Data
     kept = F.when(F.col("places").isNull(), text).otherwise(
         let(F.split(text, "\n"), lambda lines_: without(F.col("places"), lines_))
     )
-    return found.select(
-        "doc.*",
+    shaped = found.select(
+        "doc",
         F.struct(
             F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
             F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
             kept.alias("kept_text"),
         ).alias("line_dedup"),
     )
+    return shaped.select("doc.*", "line_dedup")

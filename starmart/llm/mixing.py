@@ -207,9 +207,8 @@ def mix(
     full = aimed(docs.select(F.struct(*docs.columns).alias("doc"), *own))
     sampled = pareto_sample(aimed(slim), seed, buckets, full=full)
     taken = (F.col("copies") * F.col("size")).alias("taken")
-    return sampled.select(
-        "doc.*", F.struct("size", "source_size", "target", "copies", taken).alias("mixing")
-    )
+    mixing = F.struct("size", "source_size", "target", "copies", taken).alias("mixing")
+    return sampled.select("doc", mixing).select("doc.*", "mixing")
 
 
 def repeated(docs: DataFrame, **options: int) -> DataFrame:
