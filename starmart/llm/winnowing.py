@@ -108,7 +108,7 @@ def with_next(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFr
         (here["bucket"], None if there["head"]["none"] else -there["head"]["down"], there["head"]["row"])
         for here, there in zip(heads, heads[1:] + heads[:1], strict=True)
     ]
-    wanted = spark.createDataFrame(following, "of bigint, head_id bigint, head_row bigint")
+    wanted = spark.createDataFrame(following, "of int, head_id bigint, head_row bigint")
     parts = F.struct(F.col("text"), *[e.alias(n) for n, e in extra.items()])
     head_texts = (
         keyed.join(
