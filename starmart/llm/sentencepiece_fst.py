@@ -19,7 +19,7 @@ block advance through their positions together.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +35,7 @@ runs_on_executors(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 CACHE_BITS = 20
 SCALAR_FROM = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -382,43 +382,67 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
+def _encoded(m: Machines, batches: Iterator[pd.Series]) -> Iterator[list[np.ndarray]]:
+    """Ids of all texts in turn, block by block, so that no more than a block is held."""
+    pairs = Pairs(m)
+    for batch in batches:
+        for group in _groups(batch.fillna("").tolist()):
+            yield encode_texts(m, pairs, group)
+
+
+def _decoder(m: Machines) -> Callable[[np.ndarray], str]:
+    """Pieces and bytes in a row, U+2581 as a blank, without the one in front."""
+    spelled = [p.replace(SPACE, " ").encode() for p in m.pieces]
+    for byte, i in enumerate(m.byte_ids.tolist()):
+        spelled[i] = bytes([byte])
+    size = np.array([len(s) for s in spelled], np.int64)
+    flat, start = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(size) - size
+
+    def decoded(ids: np.ndarray) -> str:
+        n = size[ids]
+        ends = np.cumsum(n)
+        at = np.arange(int(n.sum())) + np.repeat(start[ids] - ends + n, n)
+        return flat[at].tobytes().decode("utf-8", "replace").removeprefix(" ")
+
+    return decoded
+
+
 def encode(text: Column, m: Machines) -> Column:
     """Binary column of the ids, four bytes each, little end first; null is empty text."""
 
     @pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pairs = Pairs(m)
-        for batch in batches:
-            groups = _groups(batch.fillna("").tolist())
-            yield pd.Series([i.tobytes() for g in groups for i in encode_texts(m, pairs, g)], dtype=object)
+        for ids in _encoded(m, batches):
+            yield pd.Series([i.tobytes() for i in ids], dtype=object)
 
     return encoded(text)
 
 
 def decode(ids: Column, m: Machines) -> Column:
-    """The text of a binary column of ids: pieces and bytes in a row, U+2581 as a blank."""
-    spelled = [p.replace(SPACE, " ").encode() for p in m.pieces]
-    for byte, i in enumerate(m.byte_ids.tolist()):
-        spelled[i] = bytes([byte])
-    size = np.array([len(s) for s in spelled], np.int64)
-    flat, start = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(size) - size
+    """The text of a binary column of ids; null is no ids."""
 
     @pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoder = _decoder(m)
         for batch in batches:
-            out = []
-            for packed in batch:
-                i = np.frombuffer(packed or b"", np.int32)
-                n = size[i]
-                ends = np.cumsum(n)
-                at = np.arange(int(n.sum())) + np.repeat(start[i] - ends + n, n)
-                text = flat[at].tobytes().decode("utf-8", "replace")
-                out.append(text[1:] if text[:1] == " " else text)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([decoder(np.frombuffer(x or b"", np.int32)) for x in batch], dtype=object)
 
     return decoded(ids)
 
 
+def encode_and_decode(text: Column, m: Machines) -> Column:
+    """Struct of ids and decoded text, made by one worker a task."""
+
+    @pandas_udf("ids binary, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        decoder = _decoder(m)
+        for ids in _encoded(m, batches):
+            columns = {"ids": [i.tobytes() for i in ids], "decoded": [decoder(i) for i in ids]}
+            yield pd.DataFrame(columns, dtype=object)
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, text, ids, decoded) of every row; ``path`` names the model file.
 
@@ -426,7 +450,6 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     decodes to itself, but that U+2581 comes back as a blank. Repeated rows get a
     row each. Other columns of ``docs`` are not read; an empty table gives no rows.
     """
-    m = compile_model(path)
     slim = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    encoded = slim.withColumn("ids", encode(F.col("text"), m))
-    return encoded.withColumn("decoded", decode(F.col("ids"), m))
+    coded = slim.withColumn("coded", encode_and_decode(F.col("text"), compile_model(path)))
+    return coded.select("doc_id", "text", "coded.ids", "coded.decoded")

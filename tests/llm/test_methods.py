@@ -228,3 +228,10 @@ def test_at_most_one_path_has_a_finite_weight(machines):
 
     for word in ("▁the", "▁entertain", "▁banana", "▁aaaaaaa", "▁Straßenbahn"):
         assert list(paths(word)) == [sentencepiece_fst.shortest_path(machines, pairs, word)]
+
+
+def test_encoding_and_decoding_apart(spark, machines):
+    docs = spark.createDataFrame([("a  b\n",), (None,), ("",), ("é😀x",)], "text string")
+    ids = docs.select("text", sentencepiece_fst.encode(F.col("text"), machines).alias("ids"))
+    found = ids.select("text", sentencepiece_fst.decode(F.col("ids"), machines).alias("back")).collect()
+    assert [r["back"] for r in found] == [r["text"] or "" for r in found]
