@@ -12,10 +12,11 @@ per candidate pair to decide it.
    stored as segments: one row per class and fragment.
 3. Two classes can only be similar if they share one of the rarest shingles of
    both, as many as the similarity lets differ, plus one. Members of such a
-   shingle's group are compared with the group's hubs: first one hub, then four,
+   shingle's group are compared with the group's hubs: first one hub, then sixteen,
    and so on. Members that have become one component are not compared any more, so
    a large group of near copies costs one comparison per member.
-4. For each pair the overlaps of their segments are summed; links are merged into
+4. Pairs are first held against the overlap of their rarest shingles. For those that
+   remain the overlaps of their segments are summed; links are merged into
    components.
 
 Nothing is dropped: groups go on until every pair in different components has
@@ -41,13 +42,15 @@ WORDS = 5
 PERCENT = 75
 BATCH_BYTES = 4_000_000
 BATCH_TEXTS = 60_000
+CHUNK_BYTES = 500_000
 #: Classes up to WHOLE shingles are searched by all of them, those from HALF on by
 #: the lower half of the order. Two similar classes are both in one of the groups,
 #: since 0.75 * WHOLE < HALF.
 HALF, WHOLE = 256, 340
 SEGMENTS = 8
 BITMAP_BITS = 26
-HUB_GROWTH = 4
+HUB_GROWTH = 16
+_HALF_MASK = 0x5DEECE66D1234567
 _LOW = np.uint64(1 << 63)
 _MASK48 = np.uint64((1 << 48) - 1)
 
@@ -116,12 +119,19 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.nda
     text = batch.column("text").cast(pa.large_string())
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset :][: len(text) + 1]
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+
+    def cut(at: int, stop: int, size: int) -> int:
+        return min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + size))), stop)
+
     at = 0
     while at < len(text):
-        end = int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES))
-        end = min(max(at + 1, end), at + BATCH_TEXTS, len(text))
-        span = offsets[at : end + 1]
-        yield batch.slice(at, end - at), shingles(data[span[0] : span[-1]], span - span[0])
+        end = cut(at, min(at + BATCH_TEXTS, len(text)), BATCH_BYTES)
+        sets: list[np.ndarray] = []
+        while at + len(sets) < end:
+            first = at + len(sets)
+            span = offsets[first : cut(first, end, CHUNK_BYTES) + 1]
+            sets += shingles(data[span[0] : span[-1]], span - span[0])
+        yield batch.slice(at, end - at), sets
         at = end
 
 
@@ -306,30 +316,81 @@ def _segments(bits: np.ndarray):
 
 
 def _rare_shingles(segments: DataFrame) -> DataFrame:
-    """(view, token, key, n): the shared ones among each class's rarest shingles.
+    """(key, n, half, base, alone, last, prefix): each class's rarest shingles.
 
     Shingles are ordered by the number of classes that have them, then by hash. Of
     two similar classes at most a quarter of either's shingles are not in the
     other, so the first common one is among the first quarter and one of both.
+    ``base`` is the number of shingles that are ordered; ``alone`` of them no other
+    class has. ``prefix`` has the shared ones that follow, ``last`` is the place of
+    the last in the order. Shingles of the two views are told apart by a bit pattern.
     """
     views = F.array(
-        F.when(F.col("n") <= WHOLE, F.lit("whole")),
-        F.when((F.col("n") >= HALF) & (F.col("segment") < SEGMENTS // 2), F.lit("half")),
+        F.when(F.col("n") <= WHOLE, F.struct(F.lit(0).cast("bigint").alias("mask"), F.col("n").alias("base"))),
+        F.when(
+            (F.col("n") >= HALF) & (F.col("segment") < SEGMENTS // 2),
+            F.struct(F.lit(_HALF_MASK).alias("mask"), F.col("low").alias("base")),
+        ),
     )
     viewed = segments.withColumn("view", F.explode(F.array_compact(views)))
-    tokens = viewed.select("view", "key", "n", "low", F.explode("tokens").alias("token"))
-    several = tokens.groupBy("view", "token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    shared = tokens.join(several, ["view", "token"])
-    per_class = shared.groupBy("view", "key", "n", "low").agg(
+    tokens = viewed.select("key", "n", "view", F.explode("tokens").alias("token")).select(
+        "key", "n", "view.mask", "view.base", F.col("token").bitwiseXOR(F.col("view.mask")).alias("token")
+    )
+    several = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    shared = tokens.join(several, "token")
+    per_class = shared.groupBy("key", "n", "mask", "base").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared")
     )
-    of = F.when(F.col("view") == "whole", F.col("n")).otherwise(F.col("low"))
-    alone = of - F.size("shared")
+    alone = F.col("base") - F.size("shared")
     room = F.floor(F.col("n") * (100 - PERCENT) / 100) + 1 - alone
     first = F.slice("shared", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
-    return per_class.select("view", "key", "n", F.explode(first).alias("s")).select(
-        "view", F.col("s.token").alias("token"), "key", "n"
+    cut = per_class.select(
+        "key", "n", (F.col("mask") != 0).alias("half"), "base", alone.alias("alone"), first.alias("s")
     )
+    return cut.where(F.size("s") > 0).select(
+        "key", "n", "half", "base", "alone",
+        F.element_at("s", -1).alias("last"), F.col("s.token").alias("prefix"),
+    )
+
+
+def _needed(a: str, b: str) -> Column:
+    """How many ordered shingles two similar classes have in common at least.
+
+    Similar sets of n and m shingles have 3/7 (n + m) in common; of the ordered
+    ones each has at most its own rest that the other lacks.
+    """
+    n, m, base, base_m = (F.col(c) for c in (f"n{a}", f"n{b}", f"base{a}", f"base{b}"))
+    common = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+    return F.greatest(base - n + common, base_m - m + common)
+
+
+def _may_be_similar() -> Column:
+    """Whether a pair can still be similar if this is its first common shingle."""
+    n, m = F.col("n"), F.col("n_a")
+    rest = F.least(F.col("base") - F.col("place"), F.col("base_a") - F.col("place_a"))
+    sizes = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return sizes & (rest >= _needed("", "_a"))
+
+
+def _promising(pairs: DataFrame, rare: DataFrame) -> DataFrame:
+    """The pairs that the overlap of their rarest shingles does not rule out.
+
+    Up to the prefix that ends first in the order, common shingles are in both
+    prefixes; beyond it are at most the rest of that class.
+    """
+    side = lambda of: rare.select(
+        F.col("key").alias(of),
+        F.col("half").alias(f"half_{of}"),
+        F.col("base").alias(f"base_{of}"),
+        (F.col("base") - F.col("alone") - F.size("prefix")).alias(f"rest_{of}"),
+        F.col("last").alias(f"last_{of}"),
+        F.col("prefix").alias(f"prefix_{of}"),
+    )
+    met = pairs.join(side("a"), "a").where(F.col("half") == F.col("half_a"))
+    met = met.join(side("b"), "b").where(F.col("half") == F.col("half_b"))
+    rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    both = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    return met.where(both + rest >= _needed("_a", "_b")).select(*pairs.columns).drop("half").distinct()
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -363,9 +424,7 @@ def connect(edges: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         hung = both.join(least, "u").where(F.col("v") > F.col("u"))
-        large = stored(
-            hung.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges"
-        )
+        large = hung.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(down, "u").where(F.col("v") != F.col("m"))
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -379,46 +438,57 @@ def connect(edges: DataFrame) -> DataFrame:
 
 def _components(segments: DataFrame) -> DataFrame:
     """(key, component): classes that are linked, directly or not, share a component."""
-    rare = stored(_rare_shingles(segments), "rare")
+    rarest = stored(_rare_shingles(segments), "rare")
+    listed = rarest.select(
+        "key", "n", "half", "base", "alone", F.posexplode("prefix").alias("at", "token")
+    ).select(
+        "token", "key", "n", "half", "base", (F.col("alone") + F.col("at")).alias("place"),
+        # Classes with few shingles of their own are hubs first: what others were copied from.
+        F.struct((F.col("alone") / F.col("base")).alias("own"), "key").alias("turn"),
+    )
     labels = stored(
-        rare.select("key").distinct().withColumn("component", F.col("key")), "labels"
+        rarest.select("key").distinct().withColumn("component", F.col("key")), "labels"
     )
-    spark = segments.sparkSession
-    tested = spark.createDataFrame([], "a binary, b binary")
-    group, seen, hubs = Window.partitionBy("view", "token"), 0, 1
+    tested = segments.sparkSession.createDataFrame([], "a binary, b binary")
+    seen, hubs = 0, 1
     while True:
-        members = rare.join(labels, "key")
-        open_groups = (
-            members.groupBy("view", "token")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
-            .where(F.col("lo") != F.col("hi"))
-            .select("view", "token", "c")
-        )
-        members = stored(members.join(open_groups, ["view", "token"]), "members")
+        members = listed.join(labels, "key")
+        ends = [f(F.col("component")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        groups = members.groupBy("token").agg(*ends, F.count("*").alias("c"))
+        open_groups = groups.where(F.col("lo") != F.col("hi")).select("token", "c")
+        members = stored(members.join(open_groups, "token"), "members")
         largest = members.agg(F.max("c")).first()[0]
         if largest is None:
             return labels
-        rare = members.select("view", "token", "key", "n")
-        place = F.row_number().over(group.orderBy("key"))
-        chosen = members.withColumn("place", place).where(F.col("place") <= hubs)
-        hub = chosen.where(F.col("place") > seen).select(
-            "view", "token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("u")
+        listed = members.select(*listed.columns)
+        place = F.row_number().over(Window.partitionBy("token").orderBy("turn"))
+        chosen = members.withColumn("number", place).where(F.col("number") <= hubs)
+        own = {"key": "a", "n": "n_a", "base": "base_a", "place": "place_a", "component": "u", "turn": "turn_a"}
+        hub = chosen.where(F.col("number") > seen).select(
+            F.col("token").alias("of"), *[F.col(c).alias(to) for c, to in own.items()]
         )
-        small, large = F.least("n_a", "n"), F.greatest("n_a", "n")
+        new = (F.col("turn_a") < F.col("turn")) & (F.col("u") != F.col("component"))
         pairs = (
-            members.join(hub, ["view", "token"])
-            .where((F.col("a") < F.col("key")) & (F.col("u") != F.col("component")))
-            .where(100 * small >= PERCENT * large)
-            .select("a", F.col("key").alias("b"), "n_a", F.col("n").alias("n_b"), "u", F.col("component").alias("v"))
+            members.join(hub, (F.col("token") == F.col("of")) & new & _may_be_similar())
+            .select(
+                F.least("a", "key").alias("a"),
+                F.greatest("a", "key").alias("b"),
+                F.when(F.col("a") < F.col("key"), F.col("n_a")).otherwise(F.col("n")).alias("n_a"),
+                F.when(F.col("a") < F.col("key"), F.col("n")).otherwise(F.col("n_a")).alias("n_b"),
+                F.least("u", "component").alias("v"),
+                F.greatest("u", "component").alias("u"),
+                "half",
+            )
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
+        pairs = stored(pairs, "candidates")
+        tested = tested.unionAll(pairs.select("a", "b").distinct())
+        pairs = _promising(pairs, rarest)
         pairs = stored(pairs, "pairs")
-        tested = tested.unionAll(pairs.select("a", "b"))
         links = stored(_linked(pairs, segments).select("u", "v").distinct(), "links")
         if not links.isEmpty():
-            edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            moved = connect(edges).select(F.col("u").alias("component"), F.col("v").alias("to"))
+            moved = connect(links).select(F.col("u").alias("component"), F.col("v").alias("to"))
             labels = stored(
                 labels.join(moved, "component", "left").select(
                     "key", F.coalesce("to", "component").alias("component")
