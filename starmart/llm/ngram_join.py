@@ -394,17 +394,27 @@ def _promising(pairs: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """``pairs`` of (a, b) with ``both``: their overlaps, counted by segment and summed."""
-    side = lambda of: segments.select(
-        F.col("key").alias(of), F.col("segment").alias(f"{of}_segment"), F.col("tokens").alias(f"{of}_tokens")
-    )
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    part = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return (
-        met.where(F.col("a_segment") == F.col("b_segment"))
-        .groupBy(*pairs.columns)
-        .agg(F.sum(part).alias("both"))
+    """``pairs`` of (a, b) with ``both``: their overlaps, counted by segment and summed.
+
+    Only classes that occur in a pair are read from the segments. These come as one
+    row a class with its segments side by side, so a pair stays one row.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = segments.join(stored(ends, "wanted"), "key", "left_semi")
+    token_lists = [
+        F.coalesce(
+            F.max(F.when(F.col("segment") == i, F.col("tokens"))), F.array().cast("array<bigint>")
+        ).alias(f"s{i}")
+        for i in range(SEGMENTS)
+    ]
+    side = wanted.groupBy("key").agg(*token_lists)
+    names = [f"s{i}" for i in range(SEGMENTS)]
+    of = lambda end: side.select(
+        F.col("key").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names]
     )
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    parts = [F.size(F.array_intersect(f"a_{n}", f"b_{n}")) for n in names]
+    return met.select(*pairs.columns, sum(parts[1:], parts[0]).cast("bigint").alias("both"))
 
 
 def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -444,7 +454,7 @@ def _components(segments: DataFrame) -> DataFrame:
     ).select(
         "token", "key", "n", "half", "base", (F.col("alone") + F.col("at")).alias("place"),
         # Classes with few shingles of their own are hubs first: what others were copied from.
-        F.struct((F.col("alone") / F.col("base")).alias("own"), "key").alias("turn"),
+        (F.col("alone") / F.col("base")).alias("own"),
     )
     labels = stored(
         rarest.select("key").distinct().withColumn("component", F.col("key")), "labels"
@@ -461,13 +471,16 @@ def _components(segments: DataFrame) -> DataFrame:
         if largest is None:
             return labels
         listed = members.select(*listed.columns)
-        place = F.row_number().over(Window.partitionBy("token").orderBy("turn"))
+        place = F.row_number().over(Window.partitionBy("token").orderBy("own", "key"))
         chosen = members.withColumn("number", place).where(F.col("number") <= hubs)
-        own = {"key": "a", "n": "n_a", "base": "base_a", "place": "place_a", "component": "u", "turn": "turn_a"}
+        names = {"key": "a", "n": "n_a", "base": "base_a", "place": "place_a", "component": "u", "own": "own_a"}
         hub = chosen.where(F.col("number") > seen).select(
-            F.col("token").alias("of"), *[F.col(c).alias(to) for c, to in own.items()]
+            F.col("token").alias("of"), *[F.col(c).alias(to) for c, to in names.items()]
+        )
+        earlier = (F.col("own_a") < F.col("own")) | (
+            (F.col("own_a") == F.col("own")) & (F.col("a") < F.col("key"))
         )
-        new = (F.col("turn_a") < F.col("turn")) & (F.col("u") != F.col("component"))
+        new = earlier & (F.col("u") != F.col("component"))
         pairs = (
             members.join(hub, (F.col("token") == F.col("of")) & new & _may_be_similar())
             .select(
