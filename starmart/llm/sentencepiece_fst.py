@@ -35,7 +35,7 @@ runs_on_executors(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 CACHE_BITS = 20
 SCALAR_FROM = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
