@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,12 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
 def bounded(docs: DataFrame, candidates: DataFrame, rows: int, chars: int | None = None) -> DataFrame:
     """(doc_id, label, text) of at most ``rows`` candidates and about ``chars`` characters.
 
-    Candidates are taken in the order of a hash of their id. Only ids, labels and
-    lengths of at most ``rows`` candidates reach the driver; the broadcast sides
-    have as many rows. Texts are whole; a text of null counts as empty. Of rows
-    with one id, the one whose text is the first by code point counts.
+    Candidates are taken in the order of a hash of their id. One whose text does not
+    fit in what is left of ``chars`` is passed over and costs its own place only. A
+    label of which no text fits keeps its shortest one. Only ids, labels and lengths
+    of at most ``rows`` candidates reach the driver; the broadcast sides have as many
+    rows. Texts are whole; a text of null counts as empty. Of rows with one id, the
+    one whose text is the first by code point counts.
     """
     spark = docs.sparkSession
     rank = F.xxhash64("doc_id")
@@ -35,12 +37,26 @@ def bounded(docs: DataFrame, candidates: DataFrame, rows: int, chars: int | None
         .agg(F.max("n").alias("n"))
         .collect()
     )
-    kept, used = [], 0
-    for row in sorted(sized, key=lambda r: (r["rank"], r["doc_id"])):
-        used += row["n"]
-        if chars is None or used <= chars or not kept:
-            kept.append((row["doc_id"], row["label"]))
+    sized.sort(key=lambda r: (r["rank"], r["doc_id"]))
+    kept = [(row["doc_id"], row["label"]) for row in _fitting(sized, chars)]
     types = f"doc_id bigint, label {candidates.schema['label'].dataType.simpleString()}"
     ids = spark.createDataFrame(kept, types)
     found = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")
     return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def _fitting(sized: list[Row], chars: int | None) -> list[Row]:
+    """The rows of (label, n) that fit in ``chars`` in turn, and one of each label at least."""
+    if chars is None:
+        return sized
+    kept, used = [], 0
+    for row in sized:
+        if used + row["n"] <= chars:
+            used += row["n"]
+            kept.append(row)
+    shortest: dict[object, Row] = {}
+    for row in sized:
+        if row["label"] not in shortest or row["n"] < shortest[row["label"]]["n"]:
+            shortest[row["label"]] = row
+    known = {row["label"] for row in kept}
+    return kept + [row for label, row in shortest.items() if label not in known]
