@@ -5,7 +5,8 @@ documents is expected to give. The whole part is taken for certain. For the
 rest, documents are ranked by the odds of a random number divided by the odds of
 their inclusion, and the first ones make up a sample of fixed size. Size is
 counted in words, because that is what targets are stated in: the sample ends
-where the words that the whole copies left open are used up.
+where the words that the whole copies left open are used up. The document that
+crosses that point is taken if the sample then ends nearer to it than before it.
 
 No window holds a source. Ranks are cut into buckets, sums per bucket find the
 one in which the sample ends, and only that bucket is ranked exactly.
@@ -64,24 +65,31 @@ def _uniform(key: Column, seed: int) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(2**53))
 
 
-def _cuts(left: DataFrame) -> DataFrame:
-    """Where each group's prefix ends: (cut_group, gap, cut_bucket, last, more).
+def _cuts(left: DataFrame, nearest: bool) -> DataFrame:
+    """What a pass takes of each group: (cut_group, cut_most, cut_bucket, from, last, more).
 
     ``left`` has the rows that may still be taken: group, gap, bucket, place, size.
-    The prefix holds whole buckets before ``cut_bucket`` and, in that one, rows up
-    to ``last``; ``more`` is what then remains of the gap. Equal rows go together.
+    Rows longer than ``cut_most`` are passed over; equal rows go together. The prefix
+    of the others that stays inside the gap holds whole buckets before ``cut_bucket``
+    and, in that one, rows up to ``last``. ``more`` is what then remains of the gap.
+    With ``nearest`` only the row that crosses the gap is taken, and only if the sum
+    up to it is nearer the gap than the prefix; ``from`` and ``last`` are its place,
+    and groups without one are left out. A row longer than twice the gap never
+    brings it nearer.
     """
     group = Window.partitionBy("group")
-    fitting = left.where((F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    most = (2 if nearest else 1) * F.col("gap")
+    fitting = left.where((F.col("size") > 0) & (F.col("size") <= most))
     sums = (
         fitting.groupBy("group", "bucket")
-        .agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+        .agg(F.sum("size").alias("words"), F.first("gap").alias("gap"), F.first(most).alias("most"))
         .withColumn("sum", F.sum("words").over(group.orderBy("bucket")))
     )
     over = F.col("sum") > F.col("gap")
     ends = stored(
         sums.groupBy("group").agg(
             F.first("gap").alias("gap"),
+            F.first("most").alias("cut_most"),
             F.min(F.when(over, F.col("bucket"))).alias("cut_bucket"),
             F.coalesce(F.max(F.when(~over, F.col("sum"))), F.lit(0)).alias("before"),
         ).withColumnsRenamed({"group": "cut_group", "gap": "cut_gap"}),
@@ -94,14 +102,24 @@ def _cuts(left: DataFrame) -> DataFrame:
         .agg(F.sum("size").alias("words"), F.first("cut_gap").alias("gap"), F.first("before").alias("before"))
         .withColumn("sum", F.col("before") + F.sum("words").over(group.orderBy("place")))
     )
-    last = (
-        tied.where(F.col("sum") <= F.col("gap"))
-        .groupBy(F.col("group").alias("last_group"))
-        .agg(F.max("place").alias("last"), F.max("sum").alias("filled"))
+    last = tied.groupBy(F.col("group").alias("last_group")).agg(
+        F.max(F.when(~over, F.col("place"))).alias("last"),
+        F.max(F.when(~over, F.col("sum"))).alias("filled"),
+        F.min(F.when(over, F.struct("place", "sum", "words"))).alias("next"),
     )
     joined = ends.join(last, F.col("cut_group").eqNullSafe(F.col("last_group")), "left")
-    more = F.col("cut_gap") - F.coalesce("filled", "before")
-    return stored(joined.select("cut_group", "cut_gap", "cut_bucket", "last", more.alias("more")), "cut")
+    kept = joined.withColumn("kept", F.coalesce("filled", "before"))
+    if nearest:
+        kept = kept.where(F.col("next.sum") - F.col("cut_gap") < F.col("cut_gap") - F.col("kept"))
+        kept = kept.withColumn("last", F.col("next.place")).withColumn("kept", F.col("next.words"))
+    first = F.col("last") if nearest else F.lit(None).cast(kept.schema["last"].dataType)
+    more = F.col("cut_gap") - F.col("kept")
+    return stored(
+        kept.select(
+            "cut_group", "cut_most", "cut_bucket", first.alias("from"), "last", more.alias("more")
+        ),
+        "cut",
+    )
 
 
 def pareto_sample(
@@ -117,11 +135,13 @@ def pareto_sample(
     ``rows`` has group, doc_id, key, size and ``expected`` copies (0 or more, may
     differ inside a group). The fractional parts of ``expected`` are the inclusion
     probabilities; the sample of a group has the size that is the sum of
-    (probability x size). It is the prefix of the Pareto order that fits; further
-    passes go on down the order with documents that fit what is still open, so
-    that one long document at the end does not leave the target far off. Rows
-    equal in all of (key, doc_id, size) are taken or left together. Rows of size
-    0 get their whole copies only.
+    (probability x size). The document of the Pareto order that crosses that sum is
+    taken first if the prefix with it ends nearer the sum than without it, so one
+    longer than the sum can be taken too. The rest of the sample is the prefix that
+    fits what is then open; further passes go on down the order with documents that
+    fit, and at the end one more that crosses the sum if that is nearer. Rows equal
+    in all of (key, doc_id, size) are taken or left together. Rows of size 0 get
+    their whole copies only.
     """
     part = F.col("expected") - F.floor("expected")
     u = _uniform(F.col("key"), seed)
@@ -137,12 +157,12 @@ def pareto_sample(
     cuts = stored(gaps.withColumnRenamed("group", "gap_group"), "gaps")
     left = ranked.join(cuts, F.col("group").eqNullSafe(F.col("gap_group"))).drop("gap_group")
     ends = []
-    for _ in range(passes):
-        cuts = _cuts(left)
+    for nearest in (True, *[False] * passes, True):
+        cuts = _cuts(left, nearest)
         ends.append(cuts)
         same = F.col("group").eqNullSafe(F.col("cut_group"))
         left = (
-            left.join(cuts, same).where(~_inside()).withColumn("gap", F.col("more"))
+            left.join(cuts, same, "left").where(~_inside()).withColumn("gap", F.coalesce("more", "gap"))
         ).select(*ranked.columns, "gap")
 
     full = rows if full is None else full
@@ -171,11 +191,12 @@ def _place() -> Column:
 
 
 def _inside() -> Column:
-    """Whether a row is in the prefix that the joined cut describes."""
+    """Whether the joined cut takes a row."""
     before = F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket"))
     up_to = (F.col("bucket") == F.col("cut_bucket")) & (F.col("place") <= F.col("last"))
-    fits = (F.col("size") > 0) & (F.col("size") <= F.col("cut_gap"))
-    return F.coalesce(fits & (before | F.coalesce(up_to, F.lit(False))), F.lit(False))
+    since = F.col("from").isNull() | (F.col("place") >= F.col("from"))
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("cut_most"))
+    return F.coalesce(fits & since & (before | F.coalesce(up_to, F.lit(False))), F.lit(False))
 
 
 def mix(
