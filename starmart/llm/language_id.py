@@ -214,6 +214,7 @@ def language_of(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS_PER_LABEL) -> Model:
     """The model of a bounded sample: at most ``rows`` documents of each language.
 
+    Each language has its own share of the characters, so all of them are learned.
     Rows whose crc32 of the id modulo 3 is 1 are held out and never learned from.
     The languages of a corpus are taken to be few.
     """
@@ -228,7 +229,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS_PER_LABEL) -> Model:
     of_label = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     top = ids.withColumn("place", F.row_number().over(of_label)).where(F.col("place") <= rows)
     top = top.groupBy("doc_id").agg(F.min("label").alias("label"))
-    found = sampling.bounded(docs, top, 50 * rows, SAMPLE_CHARS)
+    found = sampling.bounded(docs, top, chars=SAMPLE_CHARS, per_label=True)
     collected = found.orderBy("doc_id").toPandas()
     return fit_rows(collected["text"].tolist(), collected["label"].tolist())
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from starmart.llm import sampling
+from starmart.llm import language_id, sampling
 
 
 def _first(spark, ids):
@@ -36,3 +36,24 @@ def test_a_label_of_long_texts_keeps_its_shortest(spark):
     found = _sample(spark, rows, rows=100, chars=6_000)
     assert Counter(row["label"] for row in found.values()) == {0: 50, 1: 1}
     assert len(found[52]["text"]) == 8_998
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 60_000)
+    rows = [(i, f"w{i % 4} " * 250, f"l{i % 4}") for i in range(1_200)]
+    rows += [(5_000 + i, "rare " * 200, "rare") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = []
+    monkeypatch.setattr(language_id, "fit_rows", lambda texts, langs: learned.extend(zip(langs, texts)))
+    language_id.fit(docs)
+    eligible = {row[0] for row in docs.where("lang = 'rare' and crc32(cast(doc_id as string)) % 3 != 1").collect()}
+    of_lang = Counter(lang for lang, _ in learned)
+    assert of_lang["rare"] == len(eligible) > 0
+    assert min(of_lang[f"l{i}"] for i in range(4)) >= 12
+    assert sum(len(text) for _, text in learned) <= 60_000
+
+
+def test_many_languages_keep_rows(spark):
+    rows = [(i, i % 60, "x" * 100) for i in range(600)]
+    found = _sample(spark, rows, chars=12_000, per_label=True)
+    assert Counter(row["label"] for row in found.values()) == dict.fromkeys(range(60), 2)
