@@ -78,5 +78,33 @@ from based
 with docs as (select row_number() over () as r, doc_id, text from documents),
 {_LINES}
 select doc_id, n_lines, n_dropped, sha256(kept_text) as kept_sha256 from kept
+""",
+    "op12_hard_negatives": """
+with parts as (
+  select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i
+  from embeddings where label is not null
+),
+used as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list(floor(256 * x) order by i) as q
+  from parts group by vec_id, label having bool_and(coalesce(isfinite(x), false))
+),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+    list_dot_product(a.q, b.q)::bigint as score
+  from used a join used b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+),
+negatives as (
+  select p.*, other_id as negative_id, score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as rank
+  from positives p join scored s on p.anchor_id = s.anchor_id and not same
+    and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score
+from negatives where rank <= 3
 """,
 }

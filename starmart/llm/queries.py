@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starmart.llm import (
+    hard_negatives,
     language_id,
     line_dedup,
     mixing,
@@ -19,7 +20,7 @@ from starmart.llm import (
     toxicity,
     winnowing,
 )
-from starmart.llm.common import documents, labels
+from starmart.llm.common import documents, embeddings, labels
 from starmart.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
 
@@ -95,6 +96,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    relabel = lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(hard_negatives.vectors(embeddings(spark, folder), relabel=relabel))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -106,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
