@@ -106,5 +106,56 @@ negatives as (
 )
 select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score
 from negatives where rank <= 3
+""",
+    "op13_prefix_trie": """
+with bits as (
+  select conv_id, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+      lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))) as crc
+  from (select distinct conv_id from conversations where conv_id is not null)
+),
+own as (
+  select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    order by turn nulls first, role, text) as turns
+  from conversations where conv_id is not null group by conv_id
+),
+rebuilt as (
+  select o.conv_id, coalesce(b.turns, [])[1:h] || o.turns[h + 1:] as turns
+  from own o join (select conv_id, xor(crc, 4294967295) % 9 as h from bits) using (conv_id)
+    left join own b on b.conv_id = o.conv_id - o.conv_id % 5
+),
+members as (
+  select conv_id, len(turns) as length, unnest(range(0, len(turns) + 1)) as depth, turns from rebuilt
+),
+placed as (
+  select conv_id, length, depth, turns[1:depth] as prefix, turns[depth].text as text from members
+),
+nodes as (
+  select prefix, depth, min(conv_id) as conv_id, count(*) as n_convs,
+    (count(*) - 1) * coalesce(strlen(any_value(text)), 0) as saved,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (length = depth), '')) as ends_sha256
+  from placed group by prefix, depth
+),
+children as (
+  select prefix[1:depth - 1] as prefix, depth - 1 as depth, count(*) as n_children
+  from nodes where depth > 0 group by 1, 2
+),
+counted as (
+  select n.*, coalesce(n_children, 0) as n_children
+  from nodes n left join children c on c.prefix = n.prefix and c.depth = n.depth
+),
+above as (
+  select saved, n_children, prefix[1:up] as prefix, up as depth
+  from (select *, unnest(range(0, depth + 1)) as up from counted)
+),
+sums as (
+  select prefix, depth, sum(saved)::bigint as saved_tokens,
+    count(*) filter (n_children = 0) as n_leaves
+  from above group by prefix, depth
+)
+select c.conv_id, c.depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+from counted c join sums s on s.prefix = c.prefix and s.depth = c.depth
+  left join nodes p on p.depth = c.depth - 1 and p.prefix = c.prefix[1:c.depth - 1]
 """,
 }

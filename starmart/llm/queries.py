@@ -13,6 +13,7 @@ from starmart.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    prefix_trie,
     quality_rules,
     rule_ensemble,
     sentencepiece_fst,
@@ -20,7 +21,7 @@ from starmart.llm import (
     toxicity,
     winnowing,
 )
-from starmart.llm.common import documents, embeddings, labels
+from starmart.llm.common import conversations, documents, embeddings, labels
 from starmart.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
 
@@ -101,6 +102,10 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.vectors(embeddings(spark, folder), relabel=relabel))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(conversations(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -113,4 +118,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
