@@ -78,6 +78,35 @@ from based
 with docs as (select row_number() over () as r, doc_id, text from documents),
 {_LINES}
 select doc_id, n_lines, n_dropped, sha256(kept_text) as kept_sha256 from kept
+""",
+    "op11_substring_dedup": rf"""
+with docs as (
+  select row_number() over () as r, doc_id, {_WORDS} as w from documents
+),
+windows as (
+  select r, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as g
+  from (select *, unnest(range(1, len(w) - 48)) as p from docs where len(w) >= 50)
+),
+owned as (select r, doc_id, p, min(doc_id) over (partition by g) as owner from windows),
+covered as (
+  select r, list(distinct p + o) as gone
+  from owned, range(50) as offsets(o) where owner < doc_id or owner is not null and doc_id is null group by r
+),
+marked as (
+  select d.r, doc_id, len(w) as n_words, generate_subscripts(w, 1) as p, unnest(w) as word, gone
+  from docs d left join covered using (r)
+),
+kept as (
+  select m.r, string_agg(word, ' ' order by p) as kept_text, count(*) as n_kept
+  from (select r, p, word from marked where gone is null
+    union all
+    select m.r, m.p, word from marked m
+    where gone is not null and not list_contains(gone, p)) m
+  group by m.r
+)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n_kept, 0))::bigint as n_removed,
+  sha256(coalesce(kept_text, '')) as kept_sha256
+from docs left join kept using (r)
 """,
     "op12_hard_negatives": """
 with parts as (

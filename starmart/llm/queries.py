@@ -18,6 +18,7 @@ from starmart.llm import (
     rule_ensemble,
     sentencepiece_fst,
     sharding,
+    substring_dedup,
     toxicity,
     winnowing,
 )
@@ -97,6 +98,16 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = F.col("substring_dedup")
+    return substring_dedup.dedup(documents(spark, folder).select("doc_id", "text")).select(
+        "doc_id",
+        done["n_words"].alias("n_words"),
+        done["n_removed"].alias("n_removed"),
+        F.sha2(done["kept_text"], 256).alias("kept_sha256"),
+    )
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     relabel = lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
     return hard_negatives.mine(hard_negatives.vectors(embeddings(spark, folder), relabel=relabel))
@@ -117,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_prefix_trie": op13_prefix_trie,
 }
