@@ -33,11 +33,13 @@ runs_on_executors(__name__)
 WINDOW = 50
 BLOCK = WINDOW // 2
 CHUNK_BYTES = 1_000_000
-#: Bits of a bitmap: some for each expected block, within these bounds (128 MB at most).
+#: Bits of a bitmap: some for each expected entry, within these bounds (128 MB at most).
 LEAST_BITS, MOST_BITS = 22, 30
-BITS_A_BLOCK, BYTES_A_BLOCK = 32, 150
-#: Bits and bytes of one row of a bitmap, as Spark's bitmap functions make them.
+BITS_EACH, BYTES_A_BLOCK = 32, 150
+#: Bits and bytes of one row of a bitmap, as Spark's bitmap functions make them, and
+#: where in a hash the numbers of its bits begin.
 ROW_BITS, ROW_BYTES = 32_768, 4096
+SHIFTS = (0, 32, 47)
 NO_ID = (1 << 63) - 1
 
 _BYTES = np.arange(256, dtype=np.uint64)
@@ -154,28 +156,31 @@ def _extremes(keys: list[np.ndarray], doc_id: np.ndarray, known: np.ndarray) ->
     return [key[order][start] for key in keys], least, _ids(most, some), loose
 
 
-_BLOCKS = "bucket int, bit int, lo bigint, hi bigint, loose boolean, h bigint"
+_BLOCKS = "h bigint, lo bigint, hi bigint, loose boolean"
 _WINDOWS = "g bigint, g2 int, lo bigint, hi bigint, loose boolean"
 _PLACES = "g bigint, g2 int, doc_id bigint, mark bigint, at int"
 
 
 class Filter:
-    """A bitmap that the tasks look hashes up in."""
+    """A bitmap that the tasks look hashes up in: ``SHIFTS`` bits of one row for each."""
 
     def __init__(self, shared, bits: int):
         self.shared, self.bits = shared, bits
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & np.asarray((1 << self.bits) - 1, hashes.dtype)
-        return ((self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-
-
-def _other(hashes: np.ndarray) -> np.ndarray:
-    """Other bits of a hash, for a second bitmap that errs elsewhere than the first."""
-    return hashes >> np.uint64(32)
-
-
-def _index(bits: int, wanted: Filter):
+        hashes = hashes.view(np.uint64)
+        row = hashes & np.uint64((1 << self.bits) - ROW_BITS)
+        found = np.arange(len(hashes))
+        for shift in SHIFTS:
+            at = row[found] | (hashes[found] >> np.uint64(shift)) & np.uint64(ROW_BITS - 1)
+            byte = self.shared.value[at >> np.uint64(3)]
+            found = found[(byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(hashes), bool)
+        out[found] = True
+        return out
+
+
+def _index(wanted: Filter):
     """The blocks of each text, side by side."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,28 +189,27 @@ def _index(bits: int, wanted: Filter):
             sided = words.place[at] % BLOCK == 0
             text = words.text[at[sided]]
             (h,), lo, hi, loose = _extremes([hashes[sided]], of["doc_id"][text], of["known"][text])
-            place = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
-            bucket, bit = (place // ROW_BITS).astype(np.int32), (place % ROW_BITS).astype(np.int32)
-            yield _batch(_BLOCKS, bucket, bit, lo, hi, loose, h.view(np.int64))
+            yield _batch(_BLOCKS, h.view(np.int64), lo, hi, loose)
 
     return index
 
 
-def _hits(words: Words, has: Filter, has_two: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hits(words: Words, has: Filter, has_two: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, hash, whether it is a hit, whether it is an indexed block of its own text)."""
     at, hashes = words.windows(BLOCK, _BASES[1])
     own = words.place[at] % BLOCK == 0
-    return at, hashes, np.where(own, has_two(hashes), has(hashes)), own
+    hit = np.zeros(len(at), bool)
+    hit[own], hit[~own] = has_two(hashes[own]), has(hashes[~own])
+    return at, hashes, hit, own
 
 
-def _probe(bits: int, wanted: Filter, has: Filter, has_two: Filter):
-    """The bits of the hits of each text."""
+def _probe(wanted: Filter, has: Filter, has_two: Filter):
+    """The hashes of each text that are hits."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words in _chunks(batches, wanted):
             _, hashes, hit, _ = _hits(words, has, has_two)
-            place = np.unique(_other(hashes[hit]) & np.uint64((1 << bits) - 1)).astype(np.int64)
-            yield _batch("bucket, bit", *((x).astype(np.int32) for x in (place // ROW_BITS, place % ROW_BITS)))
+            yield _batch("h", np.unique(hashes[hit]).view(np.int64))
 
     return probe
 
@@ -213,8 +217,9 @@ def _probe(bits: int, wanted: Filter, has: Filter, has_two: Filter):
 def _candidates(words: Words, has: Filter, has_two: Filter, was_hit: Filter):
     """Places and two hashes of the windows around hits and around blocks that were hit."""
     at, hashes, hit, own = _hits(words, has, has_two)
+    hit[own] = was_hit(hashes[own])
     marked = np.zeros(len(words.values) + 1, np.int32)
-    marked[at + 1] = (hit | own) & was_hit(_other(hashes))
+    marked[at + 1] = hit
     marked = np.cumsum(marked, dtype=np.int32)
     whole_at = np.flatnonzero(words.room >= WINDOW)
     chosen = whole_at[marked[whole_at + WINDOW - BLOCK + 1] > marked[whole_at]]
@@ -250,28 +255,45 @@ def _locate(wanted: Filter, has: Filter, has_two: Filter, was_hit: Filter):
     return locate
 
 
-def _filter(rows: DataFrame, bits: int, *columns: str) -> list[Filter]:
-    """Bitmaps of (bucket, bit); for each of ``columns`` one of the rows where it is true."""
-    aggregates = [
-        F.bitmap_construct_agg(F.when(F.col(c), F.col("bit").cast("bigint"))).alias(c) for c in columns
-    ]
-    table = rows.groupBy("bucket").agg(*aggregates).toArrow()
+def _bucket(bits: int) -> Column:
+    """The row of a bitmap that a hash belongs to."""
+    return F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 15).cast("int")
+
+
+def _filter(rows: DataFrame, bits: int, *flags: str) -> list[Filter]:
+    """Bitmaps of the hashes ``h``; for each of ``flags`` one of the rows where it is true.
+
+    ``rows`` are dealt by ``bucket``, so that a row of a bitmap is made in one task.
+    """
+    places = [F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(ROW_BITS - 1)) for shift in SHIFTS]
+    spread = rows.select("bucket", *flags, F.explode(F.array(*places)).alias("bit"))
+    made = [F.bitmap_construct_agg(F.when(F.col(flag), F.col("bit"))).alias(flag) for flag in flags]
+    table = spread.groupBy("bucket").agg(*made).toArrow()
     buckets = table.column("bucket").to_pylist()
-    made = []
-    for name in columns:
-        bitmap = np.zeros(max(1 << bits >> 3, ROW_BYTES), np.uint8)
-        for bucket, part in zip(buckets, table.column(name), strict=True):
+    filters = []
+    for flag in flags:
+        bitmap = np.zeros(1 << bits >> 3, np.uint8)
+        for bucket, part in zip(buckets, table.column(flag), strict=True):
             if part.is_valid:
                 at = bucket * ROW_BYTES
                 bitmap[at : at + ROW_BYTES] = np.frombuffer(part.as_buffer(), np.uint8)
-        made.append(Filter(rows.sparkSession.sparkContext.broadcast(bitmap), bits))
-    return made
+        filters.append(Filter(rows.sparkSession.sparkContext.broadcast(bitmap), bits))
+    return filters
+
+
+def _dealt(rows: DataFrame, bits: int) -> DataFrame:
+    return rows.withColumn("bucket", _bucket(bits)).repartition("bucket")
 
 
-def _placed(rows: DataFrame, bits: int) -> DataFrame:
-    place = F.pmod(F.col("place"), F.lit(1 << bits))
-    bucket, bit = F.floor(place / ROW_BITS).cast("int"), (place % ROW_BITS).cast("int")
-    return rows.select(bucket.alias("bucket"), bit.alias("bit"), F.lit(True).alias("set"))
+def _bits(expected: int) -> int:
+    return min(max((expected * BITS_EACH).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _rows_filter(rows: DataFrame) -> Filter:
+    """A bitmap of rows (doc_id, mark)."""
+    bits = _bits(rows.count())
+    hashed = rows.select(_place(F.col("doc_id"), F.col("mark")).alias("h"), F.lit(True).alias("set"))
+    return _filter(_dealt(hashed, bits), bits, "set")[0]
 
 
 def _place(doc_id: Column, mark: Column) -> Column:
@@ -314,21 +336,17 @@ def repeats(docs: DataFrame, rows: DataFrame) -> DataFrame:
     number of words, without overlap: all words of windows that start in a document
     with a smaller id.
     """
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
-    bits = (max(1, total // BYTES_A_BLOCK) * BITS_A_BLOCK).bit_length()
-    bits = min(max(bits, LEAST_BITS), MOST_BITS)
+    bits = _bits((rows.agg(F.sum("bytes")).first()[0] or 0) // BYTES_A_BLOCK)
     texts = _slim(docs)
-    (wanted,) = _filter(_placed(rows.where(~F.col("copy")), bits), bits, "set")
+    wanted = _rows_filter(rows.where(~F.col("copy")))
 
-    blocks = texts.mapInArrow(_index(bits, wanted), _BLOCKS).repartition("bucket")
-    indexed = blocks.groupBy("bucket", "h").agg(
-        F.first("bit").alias("bit"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("loose").alias("loose")
-    )
-    several = F.col("lo").isNotNull() & (F.col("loose") | (F.col("hi") > F.col("lo")))
-    indexed = indexed.select("bucket", "bit", F.col("lo").isNotNull().alias("one"), several.alias("two"))
-    has, has_two = _filter(indexed, bits, "one", "two")
+    blocks = _dealt(texts.mapInArrow(_index(wanted), _BLOCKS), bits).groupBy("bucket", "h")
+    indexed = blocks.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("loose").alias("loose"))
+    several = F.col("loose") | (F.col("hi") > F.col("lo"))
+    one, two = F.col("lo").isNotNull(), F.col("lo").isNotNull() & several
+    has, has_two = _filter(indexed.select("bucket", "h", one.alias("one"), two.alias("two")), bits, "one", "two")
 
-    hits = texts.mapInArrow(_probe(bits, wanted, has, has_two), "bucket int, bit int")
+    hits = _dealt(texts.mapInArrow(_probe(wanted, has, has_two), "h bigint"), bits)
     (was_hit,) = _filter(hits.withColumn("set", F.lit(True)), bits, "set")
 
     filters = (wanted, has, has_two, was_hit)
@@ -386,10 +404,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc, place = fresh(docs, "doc"), fresh(docs, "place")
     key = F.col("doc_id").cast("bigint"), F.xxhash64(whole(F.col("text")))
     # Only texts that lose words are moved to meet their spans.
-    total = rows.count()
-    bits = min(max((total * BITS_A_BLOCK).bit_length(), LEAST_BITS), MOST_BITS)
-    placed = cuts.withColumn("place", _place(F.col("doc_id"), F.col("mark")))
-    (has_cut,) = _filter(_placed(placed, bits), bits, "set")
+    has_cut = _rows_filter(cuts)
     test = F.pandas_udf(lambda x: pd.Series(has_cut(x.to_numpy())), "boolean")
     packed = docs.select(
         F.struct(*docs.columns).alias(doc), key[0].alias("own_id"), key[1].alias("own_mark"), _place(*key).alias(place)
