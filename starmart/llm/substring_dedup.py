@@ -32,7 +32,9 @@ runs_on_executors(__name__)
 
 WINDOW = 50
 BLOCK = WINDOW // 2
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
+#: Texts that are looked at together to leave out copies.
+SLICE = 512
 #: Bits of a bitmap: some for each expected entry, within these bounds (128 MB at most).
 LEAST_BITS, MOST_BITS = 22, 30
 BITS_EACH, BYTES_A_BLOCK = 32, 150
@@ -108,11 +110,17 @@ class Words:
         return at, rolled(values, at, at + size, base)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], wanted: Callable | None) -> Iterator[tuple[dict, Words]]:
-    """Parts of the batches, of about ``CHUNK_BYTES`` of text: ids and words."""
+def _parts(batches: Iterator[pa.RecordBatch], wanted: Callable) -> Iterator[pa.RecordBatch]:
+    """Small parts of the batches with the wanted rows, so that little is copied at a time."""
     for batch in batches:
-        if wanted is not None:
-            batch = batch.filter(pa.array(wanted(batch.column("place").to_numpy())))
+        mask = pa.array(wanted(batch.column("place").to_numpy()))
+        for at in range(0, len(mask), SLICE):
+            yield batch.slice(at, SLICE).filter(mask.slice(at, SLICE))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], wanted: Callable) -> Iterator[tuple[dict, Words]]:
+    """The wanted texts in parts of about ``CHUNK_BYTES``: ids and words."""
+    for batch in _parts(batches, wanted):
         text = batch.column("text").cast(pa.large_string())
         offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset :][: len(text) + 1]
         data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
@@ -263,7 +271,8 @@ def _bucket(bits: int) -> Column:
 def _filter(rows: DataFrame, bits: int, *flags: str) -> list[Filter]:
     """Bitmaps of the hashes ``h``; for each of ``flags`` one of the rows where it is true.
 
-    ``rows`` are dealt by ``bucket``, so that a row of a bitmap is made in one task.
+    ``rows`` are dealt by ``bucket``, so that a row of a bitmap is made in one task. All
+    bitmaps but the first are for fewer hashes and are folded to a quarter.
     """
     places = [F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(ROW_BITS - 1)) for shift in SHIFTS]
     spread = rows.select("bucket", *flags, F.explode(F.array(*places)).alias("bit"))
@@ -277,7 +286,9 @@ def _filter(rows: DataFrame, bits: int, *flags: str) -> list[Filter]:
             if part.is_valid:
                 at = bucket * ROW_BYTES
                 bitmap[at : at + ROW_BYTES] = np.frombuffer(part.as_buffer(), np.uint8)
-        filters.append(Filter(rows.sparkSession.sparkContext.broadcast(bitmap), bits))
+        fold = 2 if filters and bits > LEAST_BITS else 0
+        bitmap = np.bitwise_or.reduce(bitmap.reshape(1 << fold, -1), axis=0)
+        filters.append(Filter(rows.sparkSession.sparkContext.broadcast(bitmap), bits - fold))
     return filters
 
 
@@ -346,8 +357,10 @@ def repeats(docs: DataFrame, rows: DataFrame) -> DataFrame:
     one, two = F.col("lo").isNotNull(), F.col("lo").isNotNull() & several
     has, has_two = _filter(indexed.select("bucket", "h", one.alias("one"), two.alias("two")), bits, "one", "two")
 
-    hits = _dealt(texts.mapInArrow(_probe(wanted, has, has_two), "h bigint"), bits)
-    (was_hit,) = _filter(hits.withColumn("set", F.lit(True)), bits, "set")
+    # Far fewer hashes are hits than there are blocks.
+    fewer = max(bits - 2, LEAST_BITS)
+    hits = _dealt(texts.mapInArrow(_probe(wanted, has, has_two), "h bigint"), fewer)
+    (was_hit,) = _filter(hits.withColumn("set", F.lit(True)), fewer, "set")
 
     filters = (wanted, has, has_two, was_hit)
     windows = texts.mapInArrow(_compare(*filters), _WINDOWS).groupBy("g", "g2")
@@ -376,13 +389,16 @@ def _kept(words: Column, spans: Column) -> Column:
     return F.flatten(F.concat(between, F.array(rest)))
 
 
-def _done(words: Column, cut: Column, spans: Column) -> Column:
-    removed = F.aggregate(spans, F.lit(0), lambda n, r: n + r["end"] - r["begin"])
-    n = F.size(words)
-    gone = F.when(cut & spans.isNull() & (n >= WINDOW), n).when(spans.isNotNull(), removed).otherwise(0)
-    kept = F.when(spans.isNotNull(), F.array_join(_kept(words, spans), " "))
-    kept = kept.when(gone > 0, "").otherwise(F.array_join(words, " "))
-    return F.struct(n.cast("long").alias("n_words"), gone.cast("long").alias("n_removed"), kept.alias("kept_text"))
+def _done(words: Column, copy: Column, spans: Column) -> Column:
+    n, none = F.size(words), F.array().cast("array<string>")
+    removed = F.aggregate(spans, F.lit(0), lambda total, r: total + r["end"] - r["begin"])
+    gone = F.when(copy, F.when(n >= WINDOW, n).otherwise(0)).otherwise(F.coalesce(removed, F.lit(0)))
+    kept = F.when(copy & (n >= WINDOW), none).when(~copy & spans.isNotNull(), _kept(words, spans)).otherwise(words)
+    return F.struct(
+        n.cast("long").alias("n_words"),
+        gone.cast("long").alias("n_removed"),
+        F.array_join(kept, " ").alias("kept_text"),
+    )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -398,8 +414,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.drop("substring_dedup")
     rows = judged(docs)
     spans = repeats(docs, rows)
-    copies = rows.where("copy").select("doc_id", "mark", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    cuts = stored(copies.distinct().unionAll(spans), "cuts")
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    copies = rows.where("copy").select("doc_id", "mark", none.alias("spans"), F.lit(True).alias("copy"))
+    both = copies.unionAll(spans.withColumn("copy", F.lit(False)))
+    cuts = both.groupBy("doc_id", "mark").agg(F.max("spans").alias("spans"), F.max("copy").alias("copy"))
+    cuts = stored(cuts, "cuts")
 
     doc, place = fresh(docs, "doc"), fresh(docs, "place")
     key = F.col("doc_id").cast("bigint"), F.xxhash64(whole(F.col("text")))
@@ -413,13 +432,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     trimmed = F.btrim(whole(F.col(f"{doc}.text")), F.lit(BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark"))
-    moved = packed.where("moves").join(cuts.withColumn("cut", F.lit(True)), same, "left")
-    none = cuts.schema["spans"].dataType
-    stay = packed.where(~F.col("moves")).withColumn("cut", F.lit(False)).withColumn("spans", F.lit(None).cast(none))
+    moved = packed.where("moves").join(cuts, same, "left")
+    stay = packed.where(~F.col("moves")).withColumn("copy", F.lit(False)).withColumn("spans", none)
     parts = [
         part.select(
             doc,
-            let(words, lambda w: _done(w, F.coalesce("cut", F.lit(False)), F.col("spans"))).alias("substring_dedup"),
+            let(words, lambda w: _done(w, F.coalesce("copy", F.lit(False)), F.col("spans"))).alias("substring_dedup"),
         )
         for part in (moved, stay)
     ]
