@@ -250,12 +250,14 @@ def _compare(wanted: Filter, has: Filter, has_two: Filter, was_hit: Filter):
     return compare
 
 
-def _locate(wanted: Filter, has: Filter, has_two: Filter, was_hit: Filter):
-    """Every candidate window with its place."""
+def _locate(wanted: Filter, has: Filter, has_two: Filter, was_hit: Filter, owned: Filter):
+    """The places of the candidate windows that several documents have."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of, words in _chunks(batches, wanted):
             at, g, g2 = _candidates(words, has, has_two, was_hit)
+            several = owned(g)
+            at, g, g2 = at[several], g[several], g2[several]
             text = words.text[at]
             ids = _ids(of["doc_id"][text], of["known"][text])
             yield _batch(_PLACES, g, g2, ids, of["mark"][text], words.place[at].astype(np.int32))
@@ -367,7 +369,9 @@ def repeats(docs: DataFrame, rows: DataFrame) -> DataFrame:
     owners = windows.agg(F.min("lo").alias("owner"), F.max("hi").alias("hi"), F.max("loose").alias("loose"))
     repeated = F.col("owner").isNotNull() & (F.col("loose") | (F.col("hi") > F.col("owner")))
     owners = stored(owners.where(repeated).select("g", "g2", "owner"), "owners")
-    places = texts.mapInArrow(_locate(*filters), _PLACES).join(owners, ["g", "g2"])
+    bits = _bits(owners.count())
+    (owned,) = _filter(_dealt(owners.select(F.col("g").alias("h"), F.lit(True).alias("set")), bits), bits, "set")
+    places = texts.mapInArrow(_locate(*filters, owned), _PLACES).join(owners, ["g", "g2"])
     later = places.where(_after(F.col("doc_id"), F.col("owner")))
     starts = later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("at")).alias("s"))
     s = F.col("s")
