@@ -46,7 +46,7 @@ Residues = list[np.ndarray]
 def enough_primes(bound: int) -> tuple[int, ...]:
     """The first primes whose product tells apart all scores from -bound to bound."""
     for k in range(2, len(PRIMES) + 1):
-        if math.prod(PRIMES[:k]) > 2 * bound + 1:
+        if bound < MOST_SCORE and math.prod(PRIMES[:k]) > 2 * bound + 1:
             return PRIMES[:k]
     raise ValueError(f"scores up to {bound} do not fit in 62 bits")
 
