@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,6 +47,32 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/starmart/{application}/{label}-{uuid.uuid4().hex}"
 
 
+def files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(path, time, length) of every file at or below the paths, sorted."""
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        listed = path.getFileSystem(settings).listFiles(path, True)
+        while listed.hasNext():
+            status = listed.next()
+            found.append((status.getPath().toString(), status.getModificationTime(), status.getLen()))
+    return sorted(found)
+
+
+def kept(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``rows`` as a table in the shared folder, evaluated once, and how many they are.
+
+    Without a folder that all executors reach they stay as they are and are counted.
+    """
+    spark = rows.sparkSession
+    if not has_shared_folder(spark):
+        return rows, rows.count()
+    seen, path = Observation(), new_folder(spark, label)
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), seen.get["rows"]
+
+
 def write_sales(sales: DataFrame, path: str, extra_folders: tuple[str, ...] = ()) -> None:
     """Replace the whole sales table, one folder per order year.
 

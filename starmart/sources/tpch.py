@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from starmart.config import Config
 from starmart.schema import CUSTOMERS, PRODUCTS, SALES, Star
+from starmart.sources import storage
 from starmart.sources.storage import has_shared_folder, new_folder, open_star, publish
 
 # The test orders run from 1995 to August 2001.
@@ -162,13 +163,12 @@ def derive(spark: SparkSession, folder: str) -> Star:
 
 
 def _state(spark: SparkSession, folder: str) -> tuple:
-    """Path, time and size of the files of the given tables, listed by Spark.
+    """Path, time and size of the files of the given tables.
 
-    No content is read, and any folder that Spark can read will do.
+    Listed by the session's Hadoop file systems, without a Spark job and without
+    reading content, so any folder that Spark can read will do.
     """
-    paths = [f"{folder}/{name}.parquet" for name in _TABLES]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return tuple(sorted(files.select("path", "modificationTime", "length").collect()))
+    return tuple(storage.files(spark, [f"{folder}/{name}.parquet" for name in _TABLES]))
 
 
 def star(spark: SparkSession, folder: str) -> Star:

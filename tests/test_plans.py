@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from starmart.operators import spread
 from starmart.registry import OPERATORS
 from starmart.schema import Star
 from starmart.sources import tpch
@@ -65,7 +66,9 @@ SMALL = re.compile(r"keys=\[(_slice|category|subcategory|_groupingexpression)?(#
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
-def test_one_task_never_gets_unbounded_rows(stored, capsys, name):
+def test_one_task_never_gets_unbounded_rows(stored, capsys, monkeypatch, name):
+    # Full ranks count their values first; here there are more than a window may hold.
+    monkeypatch.setattr(spread, "SLICE_VALUES", 50)
     rows = OPERATORS[name](stored, CONFIG)
     capsys.readouterr()
     rows.explain()
@@ -123,6 +126,23 @@ def test_spend_windows_hold_a_day_or_the_calendar(stored, capsys):
     assert "SinglePartition" not in "".join(lines) and len(re.findall("Scan parquet", tree)) == 2
 
 
+@pytest.mark.parametrize("name", ["rank_products_profit", "rank_products_in_quarter"])
+def test_full_ranks_read_the_sales_once(spark, stored, capsys, monkeypatch, name):
+    """One scan of the sales fills a table; the rank itself reads that table only."""
+    evaluated = []
+    kept = spread.kept
+
+    def noted(rows, label):
+        evaluated.append(plan(rows, capsys))
+        return kept(rows, label)
+
+    monkeypatch.setattr(spread, "kept", noted)
+    text = plan(OPERATORS[name](stored, CONFIG), capsys)
+    sales = re.compile(r"fact_sales")
+    assert not sales.search(text)
+    assert sum(len(sales.findall(x)) for x in evaluated) == 1
+
+
 @pytest.mark.parametrize("name", ["top10_customers", "rank_customers_in_year"])
 def test_names_are_joined_to_the_short_list(stored, capsys, name):
     rows = OPERATORS[name](stored, CONFIG)
