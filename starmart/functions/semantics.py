@@ -72,9 +72,9 @@ def band(
     return label.otherwise(F.lit(beyond))
 
 
-def year_sum(value: Column, day: Column, year: int) -> Column:
-    """Sum of ``value`` over one calendar year, 0 outside (aggregate)."""
-    return F.sum(F.when(F.year(day) == year, value).otherwise(F.lit(0)))
+def in_year(value: Column, day: Column, year: int) -> Column:
+    """``value`` in one calendar year, 0 outside."""
+    return F.when(F.year(day) == year, value).otherwise(F.lit(0))
 
 
 def dated(sales: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starmart.config import Config
 from starmart.functions.semantics import dated, month_bounds, whole_ratio, within
+from starmart.operators.distincts import Cells
 from starmart.schema import Star
 
 
@@ -64,8 +65,6 @@ def period_products(star: Star, config: Config) -> DataFrame:
     )
 
 
-
-
 def _by_calendar(sales: DataFrame, **parts: Column) -> DataFrame:
     """Revenue, buyers and units per calendar part.
 
@@ -118,21 +117,21 @@ def worst_month(star: Star, config: Config) -> DataFrame:
     )
 
 
-def annual_scorecard(star: Star, config: Config) -> DataFrame:
-    """Revenue, buyers, units and products per year.
-
-    Two exact distinct counts: each is counted over its own distinct pairs, so
-    no row is multiplied; only the years meet in the join.
-    """
-    year = F.year("order_date")
-    sales = dated(star.sales)
-    products = (
-        sales.groupBy(year.alias("order_year"), "product_key")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("order_year")
-        .agg(F.count("product_key").alias("total_products"))
+def calendar_cells(**parts: Column) -> Cells:
+    """Revenue, units, buyers and products of a calendar part, over dated sales."""
+    return Cells(
+        by=parts,
+        measures={"total_sales": (F.sum, F.col("sales_amount")), "total_quantity": (F.sum, F.col("quantity"))},
+        items={"total_customers": F.col("customer_key"), "total_products": F.col("product_key")},
     )
-    return _by_calendar(sales, order_year=year).join(products, "order_year").orderBy("order_year")
+
+
+def annual_scorecard(star: Star, config: Config) -> DataFrame:
+    """Revenue, buyers, units and products per year: two exact distinct counts in one scan."""
+    yearly = calendar_cells(order_year=F.year("order_date"))
+    return yearly.totals(yearly.of(dated(star.sales))).select(
+        "order_year", "total_sales", "total_customers", "total_quantity", "total_products"
+    ).orderBy("order_year")
 
 
 def calendar_month(star: Star, config: Config) -> DataFrame:

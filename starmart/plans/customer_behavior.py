@@ -15,44 +15,51 @@ from starmart.functions.semantics import (
     dated,
     display_name,
     growth,
+    in_year,
     months_between_calendars,
     ratio,
-    year_sum,
     years_between_calendars,
 )
-from starmart.operators.known import (
-    distinct_items,
-    orders_by_known_customer,
-    resolved,
-    shared_item,
-)
+from starmart.operators.distincts import Cells
+from starmart.operators.known import distinct_items, resolved, shared_item
 from starmart.operators.segment import inactive_segment, is_core_vip, newcomer_segment
 from starmart.schema import Star
 
 
-def spend_by_category(star: Star, config: Config) -> DataFrame:
-    """Spend and products per known customer and category.
+def bought_cells(config: Config) -> Cells:
+    """Sums per customer and product, and the orders of a customer, over dated sales."""
+    day, amount = F.col("order_date"), F.col("sales_amount")
+    return Cells(
+        by={"customer_key": F.col("customer_key")},
+        measures={
+            "spend": (F.sum, amount),
+            "units": (F.sum, F.col("quantity")),
+            "first_order": (F.min, day),
+            "last_order": (F.max, day),
+            "prior": (F.sum, in_year(amount, day, config.prior_year)),
+            "current": (F.sum, in_year(amount, day, config.current_year)),
+        },
+        items={"product_key": F.col("product_key"), "order_number": F.col("order_number")},
+        carrier="product_key",
+    )
+
+
+def spend_by_category(cells: DataFrame, star: Star) -> DataFrame:
+    """Spend, products and orders per known customer and category.
 
-    Sales are reduced to (customer, product) before any join, so neither a
+    Sales come reduced to (customer, product) and (customer, order), so neither a
     frequent customer nor a best-seller reaches a join as many sales.
     """
-    day, amount = F.col("order_date"), F.col("sales_amount")
-    pairs = (
-        dated(star.sales)
-        .groupBy("customer_key", "product_key")
-        .agg(
-            F.sum(amount).alias("spend"),
-            F.sum("quantity").alias("units"),
-            F.min(day).alias("first_order"),
-            F.max(day).alias("last_order"),
-            year_sum(amount, day, config.prior_year).alias("prior"),
-            year_sum(amount, day, config.current_year).alias("current"),
-        )
-    )
+    category = star.products.select(F.col("product_key").alias("of"), "category")
     return (
-        resolved(pairs, star)
-        .join(star.products.select("product_key", "category"), "product_key", "left")
-        .groupBy("known_key", "category", shared_item("product_key"))
+        resolved(cells, star)
+        .join(category, F.col("product_key") == F.col("of"), "left")
+        .groupBy(
+            "known_key",
+            "category",
+            shared_item("product_key").alias("shared_product"),
+            shared_item("order_number").alias("shared_order"),
+        )
         .agg(
             F.sum("spend").alias("spend"),
             F.sum("units").alias("units"),
@@ -61,36 +68,32 @@ def spend_by_category(star: Star, config: Config) -> DataFrame:
             F.sum("prior").alias("prior"),
             F.sum("current").alias("current"),
             F.count("product_key").alias("product_rows"),
+            F.count("order_number").alias("order_rows"),
         )
         .withColumn("products", distinct_items("product_rows"))
-        .drop("shared_item", "product_rows")
+        .withColumn("orders", distinct_items("order_rows"))
     )
 
 
-def customer_totals(star: Star, config: Config) -> DataFrame:
-    """One row per known customer, and one for all unknown ones.
-
-    The two parts are stacked and summed instead of joined: one shuffle brings
-    both to their customer, and the NULL key needs no special join.
-    """
+def customer_totals(cells: DataFrame, star: Star) -> DataFrame:
+    """One row per known customer, and one for all unknown ones."""
     # Highest spend first, then the category that sorts first.
     choice = F.struct(F.col("spend").isNull(), -F.col("spend"), F.col("category").alias("name"))
-    orders = orders_by_known_customer(dated(star.sales), star)
-    return (
-        spend_by_category(star, config)
-        .unionByName(orders, allowMissingColumns=True)
-        .groupBy("known_key")
-        .agg(
-            F.sum("spend").alias("total_sales"),
-            F.sum("units").alias("total_quantity"),
-            F.min("first_order").alias("first_order"),
-            F.max("last_order").alias("last_order_date"),
-            F.sum("prior").alias("prior"),
-            F.sum("current").alias("current"),
-            F.sum("products").alias("total_products"),
-            F.sum("orders").alias("total_orders"),
-            F.min(F.when(F.col("category").isNotNull(), choice)).alias("best"),
-        )
+    per_category = spend_by_category(cells, star).groupBy("known_key", "category").agg(
+        *[F.sum(n).alias(n) for n in ("spend", "units", "prior", "current", "products", "orders")],
+        F.min("first_order").alias("first_order"),
+        F.max("last_order").alias("last_order"),
+    )
+    return per_category.groupBy("known_key").agg(
+        F.sum("spend").alias("total_sales"),
+        F.sum("units").alias("total_quantity"),
+        F.min("first_order").alias("first_order"),
+        F.max("last_order").alias("last_order_date"),
+        F.sum("prior").alias("prior"),
+        F.sum("current").alias("current"),
+        F.sum("products").alias("total_products"),
+        F.sum("orders").alias("total_orders"),
+        F.min(F.when(F.col("category").isNotNull(), choice)).alias("best"),
     )
 
 
@@ -109,10 +112,16 @@ def report_segment(tenure: Column, idle: Column, spend: Column, config: Config)
 
 
 def customer_behavior(star: Star, config: Config) -> DataFrame:
+    bought = bought_cells(config)
+    return report(bought.of(dated(star.sales)), star, config)
+
+
+def report(cells: DataFrame, star: Star, config: Config) -> DataFrame:
+    """The report from the cells of the dated sales."""
     person = star.customers.select(
         "customer_key", "customer_number", "first_name", "last_name", "birthdate"
     )
-    rows = customer_totals(star, config).join(
+    rows = customer_totals(cells, star).join(
         person, F.col("known_key") == F.col("customer_key"), "left"
     )
 

@@ -11,38 +11,40 @@ from starmart.functions.semantics import (
     band,
     dated,
     growth,
+    in_year,
     months_between_calendars,
     ratio,
-    year_sum,
 )
+from starmart.operators.distincts import Cells
 from starmart.schema import Star
 
 
+def sold_cells(config: Config) -> Cells:
+    """Sums, orders and customers of a product, over dated sales."""
+    day, amount = F.col("order_date"), F.col("sales_amount")
+    return Cells(
+        by={"product_key": F.col("product_key")},
+        measures={
+            "first_sale_date": (F.min, day),
+            "last_sale_date": (F.max, day),
+            "total_sales": (F.sum, amount),
+            "total_quantity": (F.sum, F.col("quantity")),
+            "prior_sales": (F.sum, in_year(amount, day, config.prior_year)),
+            "current_sales": (F.sum, in_year(amount, day, config.current_year)),
+        },
+        items={"total_orders": F.col("order_number"), "total_customers": F.col("customer_key")},
+    )
+
+
 def sales_summary(sales: DataFrame, config: Config) -> DataFrame:
-    """One row per product key of the dated sales.
+    """One row per product key of the dated sales, from one scan.
 
-    Sums combine on the map side. The two exact distinct counts move narrow
-    (product, order) and (product, customer) pairs, hashed by both columns, so a
-    best-seller is spread over tasks and no row is multiplied. The three results
-    have one row per product; they are stacked and merged, not joined.
+    What moves are sums, combined on the map side, and narrow (product, order) and
+    (product, customer) pairs, hashed by both columns, so a best-seller is spread over
+    tasks.
     """
-    day, amount = F.col("order_date"), F.col("sales_amount")
-    by_product = dated(sales).groupBy("product_key")
-    sums = by_product.agg(
-        F.min(day).alias("first_sale_date"),
-        F.max(day).alias("last_sale_date"),
-        F.sum(amount).alias("total_sales"),
-        F.sum("quantity").alias("total_quantity"),
-        year_sum(amount, day, config.prior_year).alias("prior_sales"),
-        year_sum(amount, day, config.current_year).alias("current_sales"),
-    )
-    orders = by_product.agg(F.count_distinct("order_number").alias("total_orders"))
-    buyers = by_product.agg(F.count_distinct("customer_key").alias("total_customers"))
-    parts = sums.unionByName(orders, allowMissingColumns=True)
-    parts = parts.unionByName(buyers, allowMissingColumns=True)
-    # Every measure comes from one part only: the maximum is its value.
-    measures = [name for name in parts.columns if name != "product_key"]
-    return parts.groupBy("product_key").agg(*[F.max(name).alias(name) for name in measures])
+    sold = sold_cells(config)
+    return sold.totals(sold.of(dated(sales)))
 
 
 def _obsolescence(config: Config) -> Column:
@@ -110,8 +112,13 @@ def _frequency_tier(config: Config) -> Column:
 
 
 def product_performance(star: Star, config: Config) -> DataFrame:
-    summary = sales_summary(star.sales, config).withColumnRenamed("product_key", "sold_key")
-    catalog = star.products.select("product_key", "product_name", "category", "subcategory", "cost")
+    return report(sales_summary(star.sales, config), star.products, config)
+
+
+def report(summary: DataFrame, products: DataFrame, config: Config) -> DataFrame:
+    """The report from one row of totals per sold product key."""
+    summary = summary.withColumnRenamed("product_key", "sold_key")
+    catalog = products.select("product_key", "product_name", "category", "subcategory", "cost")
     joined = catalog.join(summary, F.col("product_key") == F.col("sold_key"), "full")
 
     def or_zero(name: str) -> Column:
