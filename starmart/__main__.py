@@ -6,21 +6,18 @@ Also works as the main file of ``spark-submit``.
 from __future__ import annotations
 
 import argparse
-import time
-import uuid
 from collections.abc import Sequence
 from dataclasses import fields
 from datetime import date
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from starmart.config import Config
 from starmart.operators import quality
 from starmart.plans import views
 from starmart.registry import OPERATORS
 from starmart.schema import TABLES, Star
-from starmart.sources import csv_files
+from starmart.sources import csv_files, versions
 
 
 def _config(settings: Sequence[str]) -> Config:
@@ -37,31 +34,23 @@ def _config(settings: Sequence[str]) -> Config:
 
 
 def load(spark: SparkSession, texts: str, root: str) -> None:
-    """``texts``/<table>.csv into typed tables below ``root``.
+    """``texts``/<table>.csv into typed tables below ``root``, all three at once.
 
-    Each load has a folder of its own. It becomes the store's content by one more
-    row in ``root``/loads, written after the rules have been checked: until then,
-    and for ever if a rule is broken, the store is that of the load before.
+    The new tables count once the rules have been checked: until then, and for ever if
+    a rule is broken or a file cannot be read, the store is that of the load before.
     """
-    version = uuid.uuid4().hex
-    rows = {
-        table: csv_files.ingest(spark, f"{texts}/{table}.csv", table, f"{root}/{version}/{table}")
-        for table in TABLES
-    }
-    quality.enforce(_star(rows), Config())
-    (
-        spark.createDataFrame([(version, time.time_ns())], "version string, loaded bigint")
-        .coalesce(1)
-        .write.mode("append")
-        .parquet(f"{root}/loads")
-    )
+    with versions.replacing(spark, root) as folder:
+        rows = {
+            table: csv_files.ingest(spark, f"{texts}/{table}.csv", table, f"{folder}/{table}")
+            for table in TABLES
+        }
+        quality.enforce(_star(rows), Config())
 
 
 def opened(spark: SparkSession, root: str) -> Star:
     """The tables of the latest load that kept the rules."""
-    loads = spark.read.parquet(f"{root}/loads")
-    version = loads.agg(F.max_by("version", "loaded")).first()[0]
-    return _star({t: csv_files.accepted(spark, t, f"{root}/{version}/{t}") for t in TABLES})
+    folder = versions.current(spark, root)
+    return _star({t: csv_files.accepted(spark, t, f"{folder}/{t}") for t in TABLES})
 
 
 def _star(rows: dict) -> Star:
@@ -78,6 +67,10 @@ def main(arguments: Sequence[str] | None = None) -> None:
 
     commands.add_parser("list", help="names of the queries")
 
+    command = commands.add_parser("expire", help="remove all loads but the last ones")
+    command.add_argument("root")
+    command.add_argument("--keep", type=int, default=2)
+
     command = commands.add_parser("run", help="show or store the result of one query")
     command.add_argument("name", choices=sorted(OPERATORS), metavar="name")
     command.add_argument("root")
@@ -97,6 +90,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
     spark = SparkSession.builder.appName("starmart").getOrCreate()
     if given.command == "load":
         load(spark, given.texts, given.root)
+    elif given.command == "expire":
+        print("\n".join(versions.expire(spark, given.root, given.keep)))
     elif given.command == "reports":
         views.materialise(opened(spark, given.root), _config(given.set), given.target)
     else:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from starmart.config import Config
 from starmart.plans.customer_behavior import customer_behavior
 from starmart.plans.product_performance import product_performance
 from starmart.schema import Star
+from starmart.sources import versions
 
 REPORTS = {
     "v_product_performance_report": product_performance,
@@ -27,6 +28,13 @@ def register(star: Star, config: Config) -> dict[str, DataFrame]:
 
 
 def materialise(star: Star, config: Config, root: str) -> None:
-    """Replace the stored results of both reports below ``root``."""
-    for name, report in REPORTS.items():
-        report(star, config).write.mode("overwrite").parquet(f"{root}/{name}")
+    """Replace the stored results of both reports below ``root``, both at once."""
+    with versions.replacing(star.sales.sparkSession, root) as folder:
+        for name, report in REPORTS.items():
+            report(star, config).write.parquet(f"{folder}/{name}")
+
+
+def stored(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The reports that ``materialise`` stored last, by name."""
+    folder = versions.current(spark, root)
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in REPORTS}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from starmart.schema import QUANTITY_RANGE, TABLES, YEAR_FIELD
+from starmart.sources import versions
 from starmart.sources.storage import write_sales
 
 #: Read with or without leading zeros, written with them.
@@ -44,24 +45,21 @@ def _unusable(table: str) -> Column:
 def ingest(spark: SparkSession, csv_path: str, table: str, target: str) -> DataFrame:
     """Replace ``target`` with the rows of a CSV file and return the good ones.
 
-    Good and rejected rows are written side by side in one pass over the text.
+    Good and rejected rows are written side by side in one pass over the text. They
+    become the content of ``target`` when all are written.
     """
     rows = read_csv(spark, csv_path, table).withColumn(_REJECTED, _unusable(table))
-    if table == "fact_sales":
-        write_sales(rows, target, extra_folders=(_REJECTED,))
-    else:
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy(_REJECTED)
-            .parquet(target)
-        )
+    with versions.replacing(spark, target) as folder:
+        if table == "fact_sales":
+            write_sales(rows, folder, extra_folders=(_REJECTED,))
+        else:
+            rows.write.partitionBy(_REJECTED).parquet(folder)
     return accepted(spark, table, target)
 
 
 def _stored(spark: SparkSession, target: str, fields: list[StructField]) -> DataFrame:
-    folder = StructField(_REJECTED, BooleanType())
-    return spark.read.schema(StructType([*fields, folder])).parquet(target)
+    split = StructField(_REJECTED, BooleanType())
+    return spark.read.schema(StructType([*fields, split])).parquet(versions.current(spark, target))
 
 
 def accepted(spark: SparkSession, table: str, target: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from starmart.schema import CUSTOMERS, PRODUCTS, SALES, YEAR_COLUMN, YEAR_FIELD, Star
+from starmart.sources import versions
 
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
@@ -95,10 +96,14 @@ def write_sales(sales: DataFrame, path: str, extra_folders: tuple[str, ...] = ()
 
 
 def publish(star: Star, root: str) -> None:
-    """Replace the contents of the three tables below ``root``."""
-    write_sales(star.sales, f"{root}/fact_sales")
-    star.customers.write.mode("overwrite").parquet(f"{root}/dim_customers")
-    star.products.write.mode("overwrite").parquet(f"{root}/dim_products")
+    """Replace the three tables below ``root``, all at once.
+
+    Readers see the star that was there before until the last table is written.
+    """
+    with versions.replacing(star.sales.sparkSession, root) as folder:
+        write_sales(star.sales, f"{folder}/fact_sales")
+        star.customers.write.parquet(f"{folder}/dim_customers")
+        star.products.write.parquet(f"{folder}/dim_products")
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
@@ -107,9 +112,10 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_star(spark: SparkSession, root: str) -> Star:
-    """The tables that ``publish`` wrote."""
+    """The tables that ``publish`` wrote last."""
+    folder = versions.current(spark, root)
     return Star(
-        sales=read_sales(spark, f"{root}/fact_sales"),
-        customers=spark.read.schema(CUSTOMERS).parquet(f"{root}/dim_customers"),
-        products=spark.read.schema(PRODUCTS).parquet(f"{root}/dim_products"),
+        sales=read_sales(spark, f"{folder}/fact_sales"),
+        customers=spark.read.schema(CUSTOMERS).parquet(f"{folder}/dim_customers"),
+        products=spark.read.schema(PRODUCTS).parquet(f"{folder}/dim_products"),
     )

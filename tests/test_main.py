@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 
 from starmart import __main__ as program
+from starmart.plans import views
 from starmart.registry import OPERATORS
 from starmart.sources import csv_files
 from tests.rows import customer, product, sale, star
@@ -32,7 +33,7 @@ def test_load_run_and_store(spark, texts, tmp_path, capsys):
                   "--to", target])
     assert [r.total_revenue for r in spark.read.parquet(target).collect()] == [10]
     program.main(["reports", root, target, "--set", "report_anchor=2014-02-01"])
-    stored = spark.read.parquet(f"{target}/v_product_performance_report")
+    stored = views.stored(spark, target)["v_product_performance_report"]
     assert {r.product_key: r.recency_in_months for r in stored.collect()} == {1: 1, 2: None}
 
 
