@@ -52,24 +52,28 @@ def year_to_date(star: Star, config: Config) -> DataFrame:
     )
 
 
-def customer_spend(star: Star, config: Config) -> DataFrame:
-    """Spend of every customer up to and including each sales row.
+def spender(rows: DataFrame) -> DataFrame:
+    """``rows`` with the customer as two columns without nulls: unknown ones are one group."""
+    return rows.withColumn("spender", F.coalesce("customer_key", F.lit(0))).withColumn(
+        "known", F.col("customer_key").isNotNull()
+    )
+
+
+def _plus(total: Column, more: Column) -> Column:
+    """A sum that is missing only if both parts are."""
+    return F.when(total.isNull(), more).otherwise(total + F.coalesce(more, F.lit(0)))
+
+
+def spend_rows(sales: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """Spend up to and including each dated sale of ``spender(sales)``.
 
     A row's total is what the customer had spent before that day, from a window
     over day totals that the calendar bounds, plus the day's orders so far. No
-    task holds more of a customer's sales than one day of them. Unknown customers
-    are one group; the two key columns stand for it, so that both sides of the
-    join share the shuffle of the window.
+    task holds more of a customer's sales than one day of them. The two key columns
+    let both sides of the join share the shuffle of the window. ``carried`` has the
+    balances (spender, known, balance) that the customers had before all of these sales.
     """
     key = ["spender", "known", "order_date"]
-    sales = dated(star.sales).select(
-        "customer_key",
-        F.coalesce("customer_key", F.lit(0)).alias("spender"),
-        F.col("customer_key").isNotNull().alias("known"),
-        "order_date",
-        "order_number",
-        "sales_amount",
-    )
     earlier = (
         Window.partitionBy("spender", "known")
         .orderBy("order_date")
@@ -80,11 +84,13 @@ def customer_spend(star: Star, config: Config) -> DataFrame:
         .agg(F.sum("sales_amount").alias("day_total"))
         .select(*key, F.sum("day_total").over(earlier).alias("opening"))
     )
+    if carried is not None:
+        opening = opening.join(carried, ["spender", "known"], "left").select(
+            *key, _plus(F.col("balance"), F.col("opening")).alias("opening")
+        )
     # Rows of one order are peers: the frame ends with the last of them.
     today = F.sum("sales_amount").over(Window.partitionBy(*key).orderBy("order_number"))
-    spent = F.when(F.col("opening").isNull(), F.col("today")).otherwise(
-        F.col("opening") + F.coalesce("today", F.lit(0))
-    )
+    spent = _plus(F.col("opening"), F.col("today"))
     return (
         sales.withColumn("today", today)
         .join(opening, key)
@@ -92,6 +98,12 @@ def customer_spend(star: Star, config: Config) -> DataFrame:
     )
 
 
+def customer_spend(star: Star, config: Config) -> DataFrame:
+    """Spend of every customer up to and including each sales row."""
+    sales = dated(star.sales).select("customer_key", "order_date", "order_number", "sales_amount")
+    return spend_rows(spender(sales))
+
+
 def product_units(star: Star, config: Config) -> DataFrame:
     """Units of every product per month and up to that month.
 

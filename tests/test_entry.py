@@ -24,7 +24,7 @@ def registered(before: str) -> list[str]:
 @pytest.mark.parametrize("hidden", ["sentencepiece", "starmart.llm", "corpus_pipeline"])
 def test_star_queries_need_nothing_of_the_text_operators(hidden):
     number, complete = registered(f"import sys; sys.modules[{hidden!r}] = None")
-    assert int(number) == len(OPERATORS) + 3 and complete == "True"
+    assert int(number) == len(OPERATORS) + 3 + 4 and complete == "True"
 
 
 def test_a_folder_is_listed_without_a_job(spark, tmp_path):

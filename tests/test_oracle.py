@@ -50,7 +50,10 @@ def test_names_agree():
     assert set(statements()) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(statements()))
+CARRIED = [name for name in contract.oracle_sql() if name.startswith("carried_")]
+
+
+@pytest.mark.parametrize("name", [*sorted(statements()), *CARRIED])
 def test_query_matches_sql(spark, duck, name):
     ours = contract.queries()[name](spark, FOLDER)
     theirs = duck.execute(contract.oracle_sql()[name])
