@@ -153,49 +153,53 @@ def pareto_sample(
         .withColumn("bucket", F.floor(F.lit(buckets) * F.col("q") / (1 + F.col("q"))))
         .select("group", "doc_id", "key", "size", "part", "bucket", _place().alias("place"))
     )
-    gaps = ranked.groupBy("group").agg(F.sum(F.col("part") * F.col("size")).alias("gap"))
-    cuts = stored(gaps.withColumnRenamed("group", "gap_group"), "gaps")
-    left = ranked.join(cuts, F.col("group").eqNullSafe(F.col("gap_group"))).drop("gap_group")
-    ends = []
-    for nearest in (True, *[False] * passes, True):
+    # Decimals add up to the same sum in any order.
+    gap = F.sum((F.col("part") * F.col("size")).cast("decimal(38,9)")).cast("double").alias("gap")
+    gaps = stored(ranked.groupBy(F.col("group").alias("gap_group")).agg(gap), "gaps")
+    left = ranked.join(gaps, F.col("group").eqNullSafe(F.col("gap_group"))).drop("gap_group")
+    left = stored(left, "left")
+    ends = None
+    for i, nearest in enumerate((True, *[False] * passes, True)):
         cuts = _cuts(left, nearest)
-        ends.append(cuts)
+        numbered = cuts.withColumn("number", F.lit(i))
+        ends = numbered if ends is None else ends.unionAll(numbered)
+        if i > passes:
+            break
         same = F.col("group").eqNullSafe(F.col("cut_group"))
-        left = (
-            left.join(cuts, same, "left").where(~_inside()).withColumn("gap", F.coalesce("more", "gap"))
-        ).select(*ranked.columns, "gap")
-
+        inside = F.coalesce(_inside(F.struct(*cuts.columns)), F.lit(False))
+        left = left.join(cuts, same, "left").where(~inside).withColumn("gap", F.coalesce("more", "gap"))
+        left = stored(left.select(*ranked.columns, "gap"), "left")
+
+    # One row per group with the cuts of all passes; a row taken by one of them is taken.
+    cuts = stored(
+        ends.groupBy("cut_group").agg(
+            F.collect_list(F.struct("cut_most", "cut_bucket", "from", "last")).alias("cuts")
+        ),
+        "cuts",
+    )
     full = rows if full is None else full
-    sampled = (
+    placed = (
         full.withColumn("part", part)
         .withColumn("q", odds)
         .withColumn("bucket", F.floor(F.lit(buckets) * F.col("q") / (1 + F.col("q"))))
         .withColumn("place", _place())
-        .withColumn("copies", F.floor("expected"))
-        .withColumn("open", F.col("part") > 0)
+        .join(cuts, F.col("group").eqNullSafe(F.col("cut_group")), "left")
     )
-    for cuts in ends:
-        chosen = F.col("open") & F.coalesce(_inside(), F.lit(False))
-        sampled = (
-            sampled.join(cuts, F.col("group").eqNullSafe(F.col("cut_group")), "left")
-            .withColumn("chosen", chosen)
-            .withColumn("copies", F.col("copies") + F.col("chosen").cast("long"))
-            .withColumn("open", F.col("open") & ~F.col("chosen"))
-            .drop(*cuts.columns, "chosen")
-        )
-    return sampled.select(*full.columns, "copies")
+    taken = F.coalesce(F.exists("cuts", _inside), F.lit(False)) & (F.col("part") > 0)
+    copies = F.floor("expected") + taken.cast("long")
+    return placed.withColumn("copies", copies).select(*full.columns, "copies")
 
 
 def _place() -> Column:
     return F.struct("q", "key", "doc_id", "size")
 
 
-def _inside() -> Column:
-    """Whether the joined cut takes a row."""
-    before = F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket"))
-    up_to = (F.col("bucket") == F.col("cut_bucket")) & (F.col("place") <= F.col("last"))
-    since = F.col("from").isNull() | (F.col("place") >= F.col("from"))
-    fits = (F.col("size") > 0) & (F.col("size") <= F.col("cut_most"))
+def _inside(cut: Column) -> Column:
+    """Whether a cut takes a row."""
+    before = cut["cut_bucket"].isNull() | (F.col("bucket") < cut["cut_bucket"])
+    up_to = (F.col("bucket") == cut["cut_bucket"]) & (F.col("place") <= cut["last"])
+    since = cut["from"].isNull() | (F.col("place") >= cut["from"])
+    fits = (F.col("size") > 0) & (F.col("size") <= cut["cut_most"])
     return F.coalesce(fits & since & (before | F.coalesce(up_to, F.lit(False))), F.lit(False))
 
 
