@@ -10,13 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starmart.operators.heavy import looked_up
 from starmart.schema import Star
 
 
-def resolved(rows: DataFrame, star: Star) -> DataFrame:
-    """``known_key``: the customer key where the customer exists, else NULL."""
-    known = star.customers.select(F.col("customer_key").alias("known_key"))
-    return rows.join(known, F.col("customer_key") == F.col("known_key"), "left")
+def resolved(rows: DataFrame, star: Star, spread: Column) -> DataFrame:
+    """``known_key``: the customer key where the customer exists, else NULL.
+
+    ``spread`` deals the rows of a very frequent customer to many tasks.
+    """
+    known = star.customers.select("customer_key", F.col("customer_key").alias("known_key"))
+    return looked_up(rows, "customer_key", known, rows, spread)
 
 
 def shared_item(item: str) -> Column:
@@ -37,7 +41,7 @@ def orders_by_known_customer(sales: DataFrame, star: Star) -> DataFrame:
     """Distinct orders per known customer; unknown ones keep a row per order."""
     pairs = sales.select("customer_key", "order_number").distinct()
     return (
-        resolved(pairs, star)
+        resolved(pairs, star, F.col("order_number"))
         .groupBy("known_key", shared_item("order_number"))
         .agg(F.count("order_number").alias("order_rows"))
         .select("known_key", distinct_items("order_rows").alias("orders"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starmart.config import Config
 from starmart.functions.semantics import percent_text
+from starmart.operators.heavy import looked_up
 from starmart.operators.magnitude import amount_by_product
 from starmart.schema import Star
 
@@ -38,7 +39,7 @@ def orders_by_category(star: Star, config: Config) -> DataFrame:
     # One row per product and order meets the join, however many lines there are.
     pairs = star.sales.select("product_key", "order_number").distinct()
     return (
-        pairs.join(_categorised(star), "product_key")
+        looked_up(pairs, "product_key", _categorised(star), star.sales, F.col("order_number"), "inner")
         .groupBy("category")
         .agg(F.count_distinct("order_number").alias("total_orders"))
         .withColumn("true_overall_orders", overall)
@@ -55,7 +56,7 @@ def customer_penetration(star: Star, config: Config) -> DataFrame:
     placed = _categorised(star)
     pairs = star.sales.select("product_key", "customer_key").distinct()
     buyers = (
-        pairs.join(placed, "product_key")
+        looked_up(pairs, "product_key", placed, star.sales, F.col("customer_key"), "inner")
         .groupBy("category")
         .agg(F.count_distinct("customer_key").alias("buyers"))
     )

@@ -21,6 +21,7 @@ from starmart.functions.semantics import (
     years_between_calendars,
 )
 from starmart.operators.distincts import Cells
+from starmart.operators.heavy import looked_up
 from starmart.operators.known import distinct_items, resolved, shared_item
 from starmart.operators.segment import inactive_segment, is_core_vip, newcomer_segment
 from starmart.schema import Star
@@ -50,10 +51,10 @@ def spend_by_category(cells: DataFrame, star: Star) -> DataFrame:
     Sales come reduced to (customer, product) and (customer, order), so neither a
     frequent customer nor a best-seller reaches a join as many sales.
     """
-    category = star.products.select(F.col("product_key").alias("of"), "category")
+    category = star.products.select("product_key", "category")
+    known = resolved(cells, star, F.coalesce("order_number", F.col("product_key").cast("string")))
     return (
-        resolved(cells, star)
-        .join(category, F.col("product_key") == F.col("of"), "left")
+        looked_up(known, "product_key", category, cells, F.struct("customer_key", "order_number"))
         .groupBy(
             "known_key",
             "category",
