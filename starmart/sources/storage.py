@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -69,9 +69,10 @@ def kept(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
     spark = rows.sparkSession
     if not has_shared_folder(spark):
         return rows, rows.count()
-    seen, path = Observation(), new_folder(spark, label)
-    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path), seen.get["rows"]
+    path = new_folder(spark, label)
+    rows.write.parquet(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    return table, table.count()
 
 
 def write_sales(sales: DataFrame, path: str, extra_folders: tuple[str, ...] = ()) -> None:
