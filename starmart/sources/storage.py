@@ -61,6 +61,12 @@ def files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
     return sorted(found)
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether there is a file or folder of that name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def kept(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
     """``rows`` as a table in the shared folder, evaluated once, and how many they are.
 
