@@ -72,10 +72,15 @@ def fresh(rows: DataFrame, stem: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder in ``spark.checkpoint.dir``; a local session without it gets a temporary one.
+
+    On a cluster such a folder would be on one machine only, so there it is refused.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors reach in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="starmart-llm-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
