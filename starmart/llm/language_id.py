@@ -222,10 +222,11 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS_PER_LABEL) -> Model:
         (id_remainder(F.col("doc_id"), 3) != 1) & F.col("text").rlike(r"\p{L}")
     )
     ids = eligible.select("doc_id", F.col("lang").alias("label"))
-    # About four times the rows that are wanted of a label reach its window.
+    # About four times the rows that are wanted of a label reach its window; the counts,
+    # one row for each language, come to the rows, so that no language moves whole.
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     counts = ids.groupBy("label").count()
-    ids = ids.join(counts, "label").where(share * F.col("count") <= 4 * rows)
+    ids = ids.join(F.broadcast(counts), "label").where(share * F.col("count") <= 4 * rows)
     of_label = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     top = ids.withColumn("place", F.row_number().over(of_label)).where(F.col("place") <= rows)
     top = top.groupBy("doc_id").agg(F.min("label").alias("label"))
