@@ -108,11 +108,17 @@ def _splits(x: np.ndarray) -> list[np.ndarray]:
 
 
 def _grow(
-    x: np.ndarray, residual: np.ndarray, bounds: list[np.ndarray], rows: np.ndarray, path: tuple, out: list
+    x: np.ndarray,
+    residual: np.ndarray,
+    bounds: list[np.ndarray],
+    rows: np.ndarray,
+    every: np.ndarray,
+    path: tuple,
+    out: list,
 ) -> np.ndarray:
-    """Adds the paths of a regression tree to ``out``; the tree's value for ``rows``."""
+    """Adds the paths of a regression tree over ``rows`` to ``out``; its value for ``every`` row."""
     mean = residual[rows].mean()
-    values = np.full(len(rows), mean)
+    values = np.full(len(every), mean)
     if len(path) == DEPTH or len(rows) < 20:
         return values
     best = (1e-9, -1, 0.0)
@@ -135,7 +141,8 @@ def _grow(
     for side in (True, False):
         branch = (*path, (best[1], side, best[2]))
         out.append(branch)
-        values[low == side] = _grow(x, residual, bounds, rows[low == side], branch, out)
+        here = (x[every, best[1]] <= best[2]) == side
+        values[here] = _grow(x, residual, bounds, rows[low == side], every[here], branch, out)
     return values
 
 
@@ -157,8 +164,7 @@ def fit_rows(x: np.ndarray, label: np.ndarray, seed: int = 0) -> Ensemble:
         residual = label - 1 / (1 + np.exp(-margin))
         rows = np.flatnonzero(random.random(len(label)) < 0.5)
         if len(rows):
-            values = _grow(x, residual, bounds, rows, (), paths)
-            margin[rows] += 2.0 * values
+            margin += 2.0 * _grow(x, residual, bounds, rows, np.arange(len(label)), (), paths)
     rules = sorted({tuple(sorted(p)) for p in paths})
     if not rules:
         return Ensemble((), bias)
