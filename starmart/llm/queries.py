@@ -22,7 +22,7 @@ from starmart.llm import (
     toxicity,
     winnowing,
 )
-from starmart.llm.common import conversations, documents, embeddings, labels
+from starmart.llm.common import conversations, documents, embeddings, labels, new_path
 from starmart.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
 
@@ -61,7 +61,7 @@ def op6_winnowing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    placed = sharding.shard_documents(documents(spark, folder))
+    placed = sharding.shard_documents(documents(spark, folder), folder=new_path(spark, "slot-map"))
     return placed.select(
         "doc_id",
         "size",

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starmart.llm.common import stored, whole
+from starmart.sources.storage import exists
 
 SLOTS = 16_384
 SHARDS = 40
@@ -127,14 +128,27 @@ def place(measured: DataFrame, slot_map: SlotMap, counts: Sequence[int]) -> Data
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard_documents(
+    docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None
+) -> DataFrame:
     """Every row's shard, so that shards have nearly equal bytes.
 
-    A text of null counts as empty. Rows equal in id and text share a virtual
-    slot and get neighbouring places. Other columns of ``docs`` are not read.
-    Without documents there are no rows.
+    With ``folder`` the latest map that is stored there is edited for the sizes of
+    ``docs`` and for ``shards``, and stored as the next version; slots that the edit does
+    not name stay where they are. Without one, or if none is stored yet, slots begin in
+    turn. A text of null counts as empty. Rows equal in id and text share a virtual slot
+    and get neighbouring places. An id of null is hashed like any other value. Other
+    columns of ``docs`` are not read. Without documents there are no rows.
     """
+    spark = docs.sparkSession
+    before = SlotMap.first(slots, shards)
+    if folder and exists(spark, folder):
+        before = SlotMap.load(spark, folder)
+        if len(before.shard_of) != slots:
+            raise ValueError(f"the stored map has {len(before.shard_of)} slots, not {slots}")
     measured = stored(measure(docs, slots), "measured")
     sizes, counts = slot_table(measured, slots)
-    slot_map = SlotMap.first(slots, shards).rebalanced(sizes)
+    slot_map = before.rebalanced(sizes, shards)
+    if folder:
+        slot_map.save(spark, folder)
     return place(measured, slot_map, counts).withColumn("map_version", F.lit(slot_map.version))
