@@ -53,7 +53,8 @@ def components(rows: list[tuple[int, str]]) -> dict[int, int]:
 def test_against_sql(spark, name):
     ours = QUERIES[name](spark, MEDIUM)
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{MEDIUM}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        duck.execute(f"create view {table} as select * from '{MEDIUM}/{table}.parquet'")
     theirs = duck.execute(ORACLE_SQL[name])
     columns = [d[0] for d in theirs.description]
     assert sorted(ours.columns) == sorted(columns)
