@@ -19,11 +19,12 @@ by chance, or a bitmap that is full, costs comparisons and changes no result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starmart.llm.common import BLANK_RUN, BLANKS, fresh, let, runs_on_executors, stored, whole
@@ -33,8 +34,8 @@ runs_on_executors(__name__)
 WINDOW = 50
 BLOCK = WINDOW // 2
 CHUNK_BYTES = 250_000
-#: Texts that are looked at together to leave out copies.
-SLICE = 512
+#: Texts that go to Python together, and those that are looked at to leave out copies.
+BATCH_ROWS, SLICE = 1024, 512
 #: Bits of a bitmap: some for each expected entry, within these bounds (128 MB at most).
 LEAST_BITS, MOST_BITS = 22, 30
 BITS_EACH, BYTES_A_BLOCK = 32, 150
@@ -294,6 +295,18 @@ def _filter(rows: DataFrame, bits: int, *flags: str) -> list[Filter]:
     return filters
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer texts at a time on their way to Python, while the jobs of the block run."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _dealt(rows: DataFrame, bits: int) -> DataFrame:
     return rows.withColumn("bucket", _bucket(bits)).repartition("bucket")
 
@@ -417,7 +430,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("substring_dedup")
     rows = judged(docs)
-    spans = repeats(docs, rows)
+    with _small_batches(docs.sparkSession):
+        spans = repeats(docs, rows)
     none = F.lit(None).cast(spans.schema["spans"].dataType)
     copies = rows.where("copy").select("doc_id", "mark", none.alias("spans"), F.lit(True).alias("copy"))
     both = copies.unionAll(spans.withColumn("copy", F.lit(False)))
