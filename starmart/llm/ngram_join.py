@@ -13,8 +13,10 @@ per candidate pair to decide it.
 3. Two classes can only be similar if they share one of the rarest shingles of
    both, as many as the similarity lets differ, plus one. Members of such a
    shingle's group are compared with the group's hubs: first one hub, then sixteen,
-   and so on. Members that have become one component are not compared any more, so
+   then 4,096, and so on. Members that have become one component are not compared any more, so
    a large group of near copies costs one comparison per member.
+   From the second round on a pair must also pass a bound on its overlap that
+   follows from 512 bits of each class. Classes go by numbers here.
 4. Pairs are first held against the overlap of their rarest shingles. For those that
    remain the overlaps of their segments are summed; links are merged into
    components.
@@ -45,9 +47,14 @@ BATCH_TEXTS = 60_000
 CHUNK_BYTES = 500_000
 #: Classes up to WHOLE shingles are searched by all of them, those from HALF on by
 #: the lower half of the order. Two similar classes are both in one of the groups,
-#: since 0.75 * WHOLE < HALF.
+#: since 0.75 * WHOLE < HALF. If any class has so little in the lower half that a
+#: similar one may have none of it, all classes are searched by all their shingles.
 HALF, WHOLE = 256, 340
 SEGMENTS = 8
+SIGNATURE_BITS = 512
+#: Fragments hold the shingles of about this much text.
+FRAGMENT_BYTES = 32_000_000
+LEAST_FRAGMENTS = 64
 BITMAP_BITS = 26
 HUB_GROWTH = 16
 _HALF_MASK = 0x5DEECE66D1234567
@@ -114,6 +121,16 @@ def set_key(tokens: np.ndarray) -> bytes:
     return np.array(two, np.uint64).tobytes()
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Bits that tell for each remainder whether an odd number of shingles has it.
+
+    Where two sets' bits differ, at least one shingle is in one set only.
+    """
+    places = (tokens & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)
+    odd = np.bincount(places, minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Parts of a batch, each of about ``BATCH_BYTES``, with the shingles of their texts."""
     text = batch.column("text").cast(pa.large_string())
@@ -189,6 +206,8 @@ def _send(fragments: int):
                 rows = []
                 for f in range(fragments):
                     (a, b), (c, d), (g, h) = ((e[f], e[f + 1]) for e in ends)
+                    if b == a and h == g and f != block % fragments:
+                        continue
                     rows.append(
                         (
                             f,
@@ -299,15 +318,21 @@ def _segments(bits: np.ndarray):
                 cuts = np.arange(1, SEGMENTS, dtype=np.uint64) << np.uint64(61)
                 ends = [[*np.searchsorted(s, cuts).tolist(), len(s)] for s in sets]
                 sizes = np.diff(np.array(ends), axis=1, prepend=0)
+                first = (sizes > 0) & (np.cumsum(sizes > 0, axis=1) == 1)
+                signed = (signature(s) for s in sets)
                 values = np.concatenate(sets).view(np.int64)
                 offsets = np.append(0, np.cumsum(sizes.ravel())).astype(np.int32)
                 low = sizes[:, : SEGMENTS // 2].sum(axis=1)
                 columns = {
-                    "key": pa.array([set_key(s) for s in sets for _ in range(SEGMENTS)], pa.binary()),
+                    "key": pa.array([k for s in sets for k in [set_key(s)] * SEGMENTS], pa.binary()),
                     "n": pa.array(np.repeat(sizes.sum(axis=1), SEGMENTS)),
                     "low": pa.array(np.repeat(low, SEGMENTS)),
                     "segment": pa.array(np.tile(np.arange(SEGMENTS, dtype=np.int32), len(sets))),
                     "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                    "signature": pa.array(
+                        [bits if here else None for bits, places in zip(signed, first, strict=True) for here in places],
+                        pa.list_(pa.int64()),
+                    ),
                 }
                 made = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
                 yield made.filter(pa.array(sizes.ravel() > 0))
@@ -325,10 +350,13 @@ def _rare_shingles(segments: DataFrame) -> DataFrame:
     class has. ``prefix`` has the shared ones that follow, ``last`` is the place of
     the last in the order. Shingles of the two views are told apart by a bit pattern.
     """
+    # Of the lower half a similar class may lack a quarter of all shingles, not more.
+    weak = (F.col("n") >= HALF) & (100 * F.col("low") <= (100 - PERCENT) * F.col("n"))
+    halves = segments.where(weak).isEmpty()
     views = F.array(
-        F.when(F.col("n") <= WHOLE, F.struct(F.lit(0).cast("bigint").alias("mask"), F.col("n").alias("base"))),
+        F.when((F.col("n") <= WHOLE) | F.lit(not halves), F.struct(F.lit(0).cast("bigint").alias("mask"), F.col("n").alias("base"))),
         F.when(
-            (F.col("n") >= HALF) & (F.col("segment") < SEGMENTS // 2),
+            F.lit(halves) & (F.col("n") >= HALF) & (F.col("segment") < SEGMENTS // 2),
             F.struct(F.lit(_HALF_MASK).alias("mask"), F.col("low").alias("base")),
         ),
     )
@@ -372,6 +400,21 @@ def _may_be_similar() -> Column:
     return sizes & (rest >= _needed("", "_a"))
 
 
+def _bits_agree() -> Column:
+    """Whether the signatures of a pair leave room for the overlap of similar sets.
+
+    Of n and m shingles with ``both`` in common n + m - 2 both are in one set only,
+    no fewer than bits that differ.
+    """
+    n, m = F.col("n"), F.col("n_a")
+    bits = [
+        F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("signature_a", F.lit(i))))
+        for i in range(SIGNATURE_BITS // 64)
+    ]
+    common = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+    return sum(bits[1:], bits[0]) <= n + m - 2 * common
+
+
 def _promising(pairs: DataFrame, rare: DataFrame) -> DataFrame:
     """The pairs that the overlap of their rarest shingles does not rule out.
 
@@ -379,7 +422,7 @@ def _promising(pairs: DataFrame, rare: DataFrame) -> DataFrame:
     prefixes; beyond it are at most the rest of that class.
     """
     side = lambda of: rare.select(
-        F.col("key").alias(of),
+        F.col("id").alias(of),
         F.col("half").alias(f"half_{of}"),
         F.col("base").alias(f"base_{of}"),
         (F.col("base") - F.col("alone") - F.size("prefix")).alias(f"rest_{of}"),
@@ -393,33 +436,34 @@ def _promising(pairs: DataFrame, rare: DataFrame) -> DataFrame:
     return met.where(both + rest >= _needed("_a", "_b")).select(*pairs.columns).drop("half").distinct()
 
 
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, segments: DataFrame, numbered: DataFrame) -> DataFrame:
     """``pairs`` of (a, b) with ``both``: their overlaps, counted by segment and summed.
 
     Only classes that occur in a pair are read from the segments. These come as one
     row a class with its segments side by side, so a pair stays one row.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = segments.join(stored(ends, "wanted"), "key", "left_semi")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = stored(ends.join(numbered.select("id", "key"), "id"), "wanted")
+    found = segments.join(wanted, "key")
     token_lists = [
         F.coalesce(
             F.max(F.when(F.col("segment") == i, F.col("tokens"))), F.array().cast("array<bigint>")
         ).alias(f"s{i}")
         for i in range(SEGMENTS)
     ]
-    side = wanted.groupBy("key").agg(*token_lists)
+    side = found.groupBy("id").agg(*token_lists)
     names = [f"s{i}" for i in range(SEGMENTS)]
     of = lambda end: side.select(
-        F.col("key").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names]
+        F.col("id").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names]
     )
     met = pairs.join(of("a"), "a").join(of("b"), "b")
     parts = [F.size(F.array_intersect(f"a_{n}", f"b_{n}")) for n in names]
     return met.select(*pairs.columns, sum(parts[1:], parts[0]).cast("bigint").alias("both"))
 
 
-def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, segments: DataFrame, numbered: DataFrame) -> DataFrame:
     either = F.col("n_a") + F.col("n_b") - F.col("both")
-    return overlaps(pairs, segments).where(100 * F.col("both") >= PERCENT * either)
+    return overlaps(pairs, segments, numbered).where(100 * F.col("both") >= PERCENT * either)
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -446,48 +490,64 @@ def connect(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _numbered(segments: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, key, n, low, signature) of each class that has rare shingles.
+
+    Ids follow the share of shingles that no other class has: classes with few of their
+    own, what others were copied from, come first and are the first hubs.
+    """
+    signed = segments.where(F.col("signature").isNotNull()).select("key", "n", "low", "signature")
+    own = found.groupBy("key").agg(F.min(F.col("alone") / F.col("base")).alias("own"))
+    return (
+        signed.join(own, "key")
+        .orderBy("own", "key")
+        .select(F.monotonically_increasing_id().alias("id"), "key", "n", "low", "signature")
+    )
+
+
 def _components(segments: DataFrame) -> DataFrame:
     """(key, component): classes that are linked, directly or not, share a component."""
-    rarest = stored(_rare_shingles(segments), "rare")
+    found = stored(_rare_shingles(segments), "found")
+    numbered = stored(_numbered(segments, found), "numbered")
+    ids = numbered.select("id", "key")
+    rarest = stored(found.join(ids, "key").drop("key"), "rare")
     listed = rarest.select(
-        "key", "n", "half", "base", "alone", F.posexplode("prefix").alias("at", "token")
-    ).select(
-        "token", "key", "n", "half", "base", (F.col("alone") + F.col("at")).alias("place"),
-        # Classes with few shingles of their own are hubs first: what others were copied from.
-        (F.col("alone") / F.col("base")).alias("own"),
-    )
-    labels = stored(
-        rarest.select("key").distinct().withColumn("component", F.col("key")), "labels"
-    )
-    tested = segments.sparkSession.createDataFrame([], "a binary, b binary")
-    seen, hubs = 0, 1
+        "id", "half", "alone", F.posexplode("prefix").alias("at", "token")
+    ).select("token", "id", "half", (F.col("alone") + F.col("at")).alias("place"))
+    labels = stored(numbered.select("id", F.col("id").alias("component")), "labels")
+    tested = segments.sparkSession.createDataFrame([], "a bigint, b bigint")
+    seen, hubs, growth = 0, 1, HUB_GROWTH
     while True:
-        members = listed.join(labels, "key")
+        members = listed.join(labels, "id")
         ends = [f(F.col("component")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
         groups = members.groupBy("token").agg(*ends, F.count("*").alias("c"))
         open_groups = groups.where(F.col("lo") != F.col("hi")).select("token", "c")
         members = stored(members.join(open_groups, "token"), "members")
         largest = members.agg(F.max("c")).first()[0]
         if largest is None:
-            return labels
+            break
         listed = members.select(*listed.columns)
-        place = F.row_number().over(Window.partitionBy("token").orderBy("own", "key"))
+        place = F.row_number().over(Window.partitionBy("token").orderBy("id"))
         chosen = members.withColumn("number", place).where(F.col("number") <= hubs)
-        names = {"key": "a", "n": "n_a", "base": "base_a", "place": "place_a", "component": "u", "own": "own_a"}
-        hub = chosen.where(F.col("number") > seen).select(
-            F.col("token").alias("of"), *[F.col(c).alias(to) for c, to in names.items()]
+        traits = numbered.select("id", "n", "low", *(["signature"] if seen else []))
+        described = lambda rows: rows.join(traits, "id").withColumn(  # noqa: E731, B023
+            "base", F.when(F.col("half"), F.col("low")).otherwise(F.col("n"))
         )
-        earlier = (F.col("own_a") < F.col("own")) | (
-            (F.col("own_a") == F.col("own")) & (F.col("a") < F.col("key"))
+        names = {"id": "a", "n": "n_a", "base": "base_a", "place": "place_a", "component": "u"}
+        names |= {"signature": "signature_a"} if seen else {}
+        hub = described(chosen.where(F.col("number") > seen)).select(
+            F.col("token").alias("of"), *[F.col(c).alias(to) for c, to in names.items()]
         )
-        new = earlier & (F.col("u") != F.col("component"))
+        new = (F.col("a") < F.col("id")) & (F.col("u") != F.col("component")) & _may_be_similar()
+        new = new & _bits_agree() if seen else new
         pairs = (
-            members.join(hub, (F.col("token") == F.col("of")) & new & _may_be_similar())
+            described(members)
+            .join(hub, (F.col("token") == F.col("of")) & new)
             .select(
-                F.least("a", "key").alias("a"),
-                F.greatest("a", "key").alias("b"),
-                F.when(F.col("a") < F.col("key"), F.col("n_a")).otherwise(F.col("n")).alias("n_a"),
-                F.when(F.col("a") < F.col("key"), F.col("n")).otherwise(F.col("n_a")).alias("n_b"),
+                "a",
+                F.col("id").alias("b"),
+                "n_a",
+                F.col("n").alias("n_b"),
                 F.least("u", "component").alias("v"),
                 F.greatest("u", "component").alias("u"),
                 "half",
@@ -497,20 +557,22 @@ def _components(segments: DataFrame) -> DataFrame:
         )
         pairs = stored(pairs, "candidates")
         tested = tested.unionAll(pairs.select("a", "b").distinct())
-        pairs = _promising(pairs, rarest)
-        pairs = stored(pairs, "pairs")
-        links = stored(_linked(pairs, segments).select("u", "v").distinct(), "links")
+        pairs = stored(_promising(pairs, rarest), "pairs")
+        links = stored(_linked(pairs, segments, numbered).select("u", "v").distinct(), "links")
         if not links.isEmpty():
             moved = connect(links).select(F.col("u").alias("component"), F.col("v").alias("to"))
             labels = stored(
                 labels.join(moved, "component", "left").select(
-                    "key", F.coalesce("to", "component").alias("component")
+                    "id", F.coalesce("to", "component").alias("component")
                 ),
                 "labels",
             )
         if hubs >= largest - 1:
-            return labels
-        seen, hubs = hubs, hubs * HUB_GROWTH
+            break
+        seen, hubs, growth = hubs, hubs * growth, growth**2
+    of_component = ids.select(F.col("id").alias("component"), F.col("key").alias("name"))
+    named = labels.join(ids, "id").join(of_component, "component")
+    return named.select("key", F.col("name").alias("component"))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -524,8 +586,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     in id and text are all first or none. Other columns of ``docs`` are not read.
     Without documents there are no rows.
     """
-    spark = docs.sparkSession
-    fragments = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    fragments = max(LEAST_FRAGMENTS, 2 * (size // (2 * FRAGMENT_BYTES)))
     rows = stored(catalogue(docs, fragments), "catalogue")
     worded = rows.where(F.col("n") > 0)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
@@ -536,10 +598,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     going = classes.where("goes_on").select(F.col("least.row").alias("row"))
     bits = _bitmap(going)
     made = _rows(docs).mapInArrow(
-        _segments(bits), "key binary, n bigint, low bigint, segment int, tokens array<bigint>"
+        _segments(bits), "key binary, n bigint, low bigint, segment int, tokens array<bigint>, signature array<bigint>"
     )
     segments = stored(made.dropDuplicates(["key", "segment"]), "segments")
-    labels = _components(segments)
+    labels = stored(_components(segments), "labels")
 
     of_class = classes.join(labels, "key", "left").select(
         "key", F.coalesce("component", "key").alias("component"), "least"
