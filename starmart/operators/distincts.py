@@ -1,8 +1,9 @@
-"""Sums and several exact distinct counts per group, from one scan.
+"""Sums and several exact distinct counts per group, from narrow scans.
 
 A row of the input becomes a few narrow cells: one that carries the measures, and one
-for each item that is to be counted. Cells are grouped by group and item before they
-move, so measures travel as one row per group and task, and each distinct item once.
+for each item that is to be counted. Each kind is grouped by itself, by group and item,
+before it moves: measures travel as one row per group and task, each distinct item once,
+and a task's table of groups has the columns of one kind only.
 
 Cells are a state that can be stored and merged: those of two inputs, put together and
 ``merged``, are those of both. ``totals`` turns them into one row per group, for any
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,28 +42,39 @@ class Cells:
         object.__setattr__(self, "kinds", {name: i + 1 for i, name in enumerate(self.items)})
 
     def of(self, rows: DataFrame) -> DataFrame:
-        """The cells of ``rows``: groups, ``item``, items and measures. One scan, one shuffle."""
+        """The cells of ``rows``: groups, ``item``, items and measures. A scan and a shuffle for each kind."""
         values = {name: value for name, (_, value) in self.measures.items()}
         flat = rows.select(*[c.alias(n) for n, c in {**self.by, **self.items, **values}.items()])
-        types = dict(flat.dtypes)
-
-        def cell(kind: int, carries: bool) -> Column:
-            own = {name: k == kind for name, k in self.kinds.items()} | dict.fromkeys(values, carries)
-            return F.struct(
-                F.lit(kind).alias(ITEM),
-                *[(F.col(n) if mine else F.lit(None).cast(types[n])).alias(n) for n, mine in own.items()],
-            )
-
-        cells = [] if self.carrier else [cell(0, True)]
-        cells += [cell(kind, name == self.carrier) for name, kind in self.kinds.items()]
-        spread = flat.select(*self.by, F.inline(F.array(*cells)))
-        # An item that is missing counts nowhere; its cell is needed only if it carries.
-        carrying = F.col(ITEM) == self.kinds.get(self.carrier, 0)
-        return self.merged(spread.where(carrying | F.coalesce(*[F.col(n).cast("string") for n in self.items]).isNotNull()))
+        return self._grouped(lambda kind: flat)
 
     def merged(self, cells: DataFrame) -> DataFrame:
         """Cells of several inputs as those of all of them."""
-        return cells.groupBy(*self.by, ITEM, *self.items).agg(*self._measures())
+        return self._grouped(lambda kind: cells.where(F.col(ITEM) == kind))
+
+    def _grouped(self, rows_of: Callable[[int], DataFrame]) -> DataFrame:
+        """The cells of all kinds, each kind grouped from its own rows."""
+        carrying = self.kinds.get(self.carrier, 0)
+        kinds = {kind: name for name, kind in self.kinds.items()} | ({} if self.carrier else {0: None})
+        items = {name: rows_of(kind).schema[name].dataType for name, kind in self.kinds.items()}
+        parts = {}
+        # The carrying kind first: it has the types of the measures.
+        for kind in sorted(kinds, key=lambda k: k != carrying):
+            rows, own = rows_of(kind), [kinds[kind]] if kinds[kind] else []
+            if kind == carrying:
+                parts[kind] = rows.groupBy(*self.by, *own).agg(*self._measures())
+            else:
+                # An item that is missing counts nowhere; its cell is needed only if it carries.
+                parts[kind] = rows.where(F.col(*own).isNotNull()).select(*self.by, *own).distinct()
+        types = items | {name: parts[carrying].schema[name].dataType for name in self.measures}
+        cells = [
+            part.select(
+                *self.by,
+                F.lit(kind).alias(ITEM),
+                *[(F.col(n) if n in part.columns else F.lit(None).cast(t)).alias(n) for n, t in types.items()],
+            )
+            for kind, part in sorted(parts.items())
+        ]
+        return reduce(DataFrame.unionAll, cells)
 
     def coarser(self, **by: Column) -> Cells:
         """The same measures and items, for cells grouped by expressions over these groups."""

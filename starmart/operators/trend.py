@@ -127,7 +127,7 @@ def calendar_cells(**parts: Column) -> Cells:
 
 
 def annual_scorecard(star: Star, config: Config) -> DataFrame:
-    """Revenue, buyers, units and products per year: two exact distinct counts in one scan."""
+    """Revenue, buyers, units and products per year: two exact distinct counts."""
     yearly = calendar_cells(order_year=F.year("order_date"))
     return yearly.totals(yearly.of(dated(star.sales))).select(
         "order_year", "total_sales", "total_customers", "total_quantity", "total_products"
