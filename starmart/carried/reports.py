@@ -34,10 +34,13 @@ def add_load(spark: SparkSession, root: str, sales: DataFrame, config: Config) -
     return Parts(spark, root).add(write)
 
 
+def _stored(spark: SparkSession, root: str, name: str, config: Config) -> DataFrame:
+    schema = _kinds(config)[name].of(spark.createDataFrame([], SALES)).schema
+    return Parts(spark, root).read(name, schema).drop("load")
+
+
 def _cells(spark: SparkSession, root: str, name: str, config: Config) -> DataFrame:
-    cells = _kinds(config)[name]
-    schema = cells.of(spark.createDataFrame([], SALES)).schema
-    return cells.merged(Parts(spark, root).read(name, schema).drop("load"))
+    return _kinds(config)[name].merged(_stored(spark, root, name, config))
 
 
 def compact(spark: SparkSession, root: str, config: Config) -> None:
@@ -59,4 +62,5 @@ def product_report(spark: SparkSession, root: str, products: DataFrame, config:
 
 def customer_report(spark: SparkSession, root: str, star: Star, config: Config) -> DataFrame:
     """The customer report over all loads; of ``star`` the two dimensions are read."""
-    return customer_behavior.report(_cells(spark, root, "bought", config), star, config)
+    cells, source = (read(spark, root, "bought", config) for read in (_cells, _stored))
+    return customer_behavior.report(cells, star, config, source)

@@ -15,6 +15,8 @@ from starmart.sources.storage import files
 
 #: Keys with at least this share of all rows are heavy; there are at most 1 / SHARE of them.
 SHARE = 0.001
+#: Groups of hashes that are counted before single keys; a group has far less than SHARE by chance.
+HASHES = 1 << 14
 #: Dimensions whose files are smaller are left to Spark's own choice of join.
 SMALL_DIMENSION = 10_000_000
 
@@ -26,10 +28,18 @@ def is_large(dimension: DataFrame) -> bool:
 
 
 def heavy_keys(rows: DataFrame, key: str, share: float = SHARE) -> DataFrame:
-    """(key) of the keys that hold at least ``share`` of ``rows``; one scan of one column."""
-    total = rows.agg(F.count(key)).scalar()
-    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= F.greatest(F.ceil(total * share), F.lit(2))).select(key)
+    """(key) of the keys that hold at least ``share`` of ``rows``; two scans of one column.
+
+    A heavy key's group of hashes is as heavy. So groups are counted first, and single
+    keys only within the few groups that hold that share.
+    """
+    known = rows.where(F.col(key).isNotNull()).select(key, F.pmod(F.xxhash64(key), F.lit(HASHES)).alias("_hash"))
+    groups = known.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
+    least = F.greatest(F.ceil(F.sum("n") * share), F.lit(2)).alias("_least")
+    listed = groups.agg(least, F.collect_list(F.struct("_hash", "n")).alias("groups"))
+    found = listed.select("_least", F.inline("groups")).where(F.col("n") >= F.col("_least"))
+    counted = known.join(F.broadcast(found.drop("n")), "_hash").groupBy(key, "_least").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= F.col("_least")).select(key)
 
 
 def looked_up(
@@ -37,8 +47,8 @@ def looked_up(
 ) -> DataFrame:
     """``rows`` with the other columns of ``dimension``, joined by ``key`` (left or inner).
 
-    ``key`` is unique in ``dimension``. ``source`` has the rows that keys are weighed by:
-    the same or more for each key. ``spread`` is a column of ``rows`` that deals the rows
+    ``key`` is unique in ``dimension``. ``source`` has the rows that keys are weighed by,
+    and is read twice: best a stored table that ``rows`` come from. ``spread`` is a column of ``rows`` that deals the rows
     of a heavy key to many tasks.
     """
     if not is_large(dimension):

@@ -14,13 +14,14 @@ from starmart.operators.heavy import looked_up
 from starmart.schema import Star
 
 
-def resolved(rows: DataFrame, star: Star, spread: Column) -> DataFrame:
+def resolved(rows: DataFrame, star: Star, source: DataFrame, spread: Column) -> DataFrame:
     """``known_key``: the customer key where the customer exists, else NULL.
 
-    ``spread`` deals the rows of a very frequent customer to many tasks.
+    ``spread`` deals the rows of a very frequent customer to many tasks; customers are
+    weighed by their rows in ``source``.
     """
     known = star.customers.select("customer_key", F.col("customer_key").alias("known_key"))
-    return looked_up(rows, "customer_key", known, rows, spread)
+    return looked_up(rows, "customer_key", known, source, spread)
 
 
 def shared_item(item: str) -> Column:
@@ -41,7 +42,7 @@ def orders_by_known_customer(sales: DataFrame, star: Star) -> DataFrame:
     """Distinct orders per known customer; unknown ones keep a row per order."""
     pairs = sales.select("customer_key", "order_number").distinct()
     return (
-        resolved(pairs, star, F.col("order_number"))
+        resolved(pairs, star, sales, F.col("order_number"))
         .groupBy("known_key", shared_item("order_number"))
         .agg(F.count("order_number").alias("order_rows"))
         .select("known_key", distinct_items("order_rows").alias("orders"))

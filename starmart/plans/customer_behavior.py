@@ -45,16 +45,17 @@ def bought_cells(config: Config) -> Cells:
     )
 
 
-def spend_by_category(cells: DataFrame, star: Star) -> DataFrame:
+def spend_by_category(cells: DataFrame, star: Star, source: DataFrame) -> DataFrame:
     """Spend, products and orders per known customer and category.
 
     Sales come reduced to (customer, product) and (customer, order), so neither a
-    frequent customer nor a best-seller reaches a join as many sales.
+    frequent customer nor a best-seller reaches a join as many sales. Heavy keys are
+    sought in ``source``, the stored rows that the cells come from.
     """
     category = star.products.select("product_key", "category")
-    known = resolved(cells, star, F.coalesce("order_number", F.col("product_key").cast("string")))
+    known = resolved(cells, star, source, F.coalesce("order_number", F.col("product_key").cast("string")))
     return (
-        looked_up(known, "product_key", category, cells, F.struct("customer_key", "order_number"))
+        looked_up(known, "product_key", category, source, F.struct("customer_key", "order_number"))
         .groupBy(
             "known_key",
             "category",
@@ -76,11 +77,11 @@ def spend_by_category(cells: DataFrame, star: Star) -> DataFrame:
     )
 
 
-def customer_totals(cells: DataFrame, star: Star) -> DataFrame:
+def customer_totals(cells: DataFrame, star: Star, source: DataFrame) -> DataFrame:
     """One row per known customer, and one for all unknown ones."""
     # Highest spend first, then the category that sorts first.
     choice = F.struct(F.col("spend").isNull(), -F.col("spend"), F.col("category").alias("name"))
-    per_category = spend_by_category(cells, star).groupBy("known_key", "category").agg(
+    per_category = spend_by_category(cells, star, source).groupBy("known_key", "category").agg(
         *[F.sum(n).alias(n) for n in ("spend", "units", "prior", "current", "products", "orders")],
         F.min("first_order").alias("first_order"),
         F.max("last_order").alias("last_order"),
@@ -113,16 +114,16 @@ def report_segment(tenure: Column, idle: Column, spend: Column, config: Config)
 
 
 def customer_behavior(star: Star, config: Config) -> DataFrame:
-    bought = bought_cells(config)
-    return report(bought.of(dated(star.sales)), star, config)
+    sales = dated(star.sales)
+    return report(bought_cells(config).of(sales), star, config, sales)
 
 
-def report(cells: DataFrame, star: Star, config: Config) -> DataFrame:
-    """The report from the cells of the dated sales."""
+def report(cells: DataFrame, star: Star, config: Config, source: DataFrame) -> DataFrame:
+    """The report from the cells of the dated sales, which come from the rows of ``source``."""
     person = star.customers.select(
         "customer_key", "customer_number", "first_name", "last_name", "birthdate"
     )
-    rows = customer_totals(cells, star).join(
+    rows = customer_totals(cells, star, source).join(
         person, F.col("known_key") == F.col("customer_key"), "left"
     )
 
