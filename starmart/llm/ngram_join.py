@@ -11,12 +11,14 @@ per candidate pair to decide it.
 2. Documents with the same shingles become one class. The classes that go on are
    stored as segments: one row per class and fragment.
 3. Two classes can only be similar if they share one of the rarest shingles of
-   both, as many as the similarity lets differ, plus one. Members of such a
-   shingle's group are compared with the group's hubs: first one hub, then sixteen,
-   then 4,096, and so on. Members that have become one component are not compared any more, so
+   both, as many as the similarity lets differ, plus one. Shingles whose first and
+   last class are the same make one family, so that edited copies, which share many
+   shingles, meet once or a few times and not at each of them. Members of a family
+   are compared with its hubs: first one hub, then sixteen, then 4,096, and so on.
+   Members that have become one component are not compared any more, so
    a large group of near copies costs one comparison per member.
-   From the second round on a pair must also pass a bound on its overlap that
-   follows from 512 bits of each class. Classes go by numbers here.
+   A pair must also pass a bound on its overlap that follows from 2,048 bits of
+   each class. Classes go by numbers here.
 4. Pairs are first held against the overlap of their rarest shingles. For those that
    remain the overlaps of their segments are summed; links are merged into
    components.
@@ -51,7 +53,7 @@ CHUNK_BYTES = 500_000
 #: similar one may have none of it, all classes are searched by all their shingles.
 HALF, WHOLE = 256, 340
 SEGMENTS = 8
-SIGNATURE_BITS = 512
+SIGNATURE_BITS = 2048
 #: Fragments hold the shingles of about this much text.
 FRAGMENT_BYTES = 32_000_000
 LEAST_FRAGMENTS = 64
@@ -393,7 +395,7 @@ def _needed(a: str, b: str) -> Column:
 
 
 def _may_be_similar() -> Column:
-    """Whether a pair can still be similar if this is its first common shingle."""
+    """Whether a pair can still be similar if no shingle before its places is common."""
     n, m = F.col("n"), F.col("n_a")
     rest = F.least(F.col("base") - F.col("place"), F.col("base_a") - F.col("place_a"))
     sizes = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
@@ -407,19 +409,17 @@ def _bits_agree() -> Column:
     no fewer than bits that differ.
     """
     n, m = F.col("n"), F.col("n_a")
-    bits = [
-        F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("signature_a", F.lit(i))))
-        for i in range(SIGNATURE_BITS // 64)
-    ]
+    bits = F.zip_with("signature", "signature_a", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     common = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
-    return sum(bits[1:], bits[0]) <= n + m - 2 * common
+    return F.aggregate(bits, F.lit(0), lambda total, differ: total + differ) <= n + m - 2 * common
 
 
 def _promising(pairs: DataFrame, rare: DataFrame) -> DataFrame:
     """The pairs that the overlap of their rarest shingles does not rule out.
 
     Up to the prefix that ends first in the order, common shingles are in both
-    prefixes; beyond it are at most the rest of that class.
+    prefixes; beyond it are at most the rest of that class. Similar classes have a
+    shingle of their prefixes in common, which members of a family need not have.
     """
     side = lambda of: rare.select(
         F.col("id").alias(of),
@@ -433,7 +433,8 @@ def _promising(pairs: DataFrame, rare: DataFrame) -> DataFrame:
     met = met.join(side("b"), "b").where(F.col("half") == F.col("half_b"))
     rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
     both = F.size(F.array_intersect("prefix_a", "prefix_b"))
-    return met.where(both + rest >= _needed("_a", "_b")).select(*pairs.columns).drop("half").distinct()
+    enough = (both > 0) & (both + rest >= _needed("_a", "_b"))
+    return met.where(enough).select(*pairs.columns).drop("half").distinct()
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -505,44 +506,57 @@ def _numbered(segments: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def _families(rare: DataFrame) -> DataFrame:
+    """(family, half, id, place): classes with a rare shingle in common are in one family.
+
+    Shingles whose first and last class are the same make one family. ``place`` is
+    that of a class's first shingle in it, so none before it leads to another member.
+    """
+    listed = rare.select(
+        "id", "half", "alone", F.posexplode("prefix").alias("at", "token")
+    ).select("token", "id", "half", (F.col("alone") + F.col("at")).alias("place"))
+    ends = listed.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    met = listed.join(ends.where(F.col("first") != F.col("last")), "token")
+    family = F.xxhash64("first", "last").alias("family")
+    return met.groupBy(family, "half", "id").agg(F.min("place").alias("place"))
+
+
 def _components(segments: DataFrame) -> DataFrame:
     """(key, component): classes that are linked, directly or not, share a component."""
     found = stored(_rare_shingles(segments), "found")
     numbered = stored(_numbered(segments, found), "numbered")
     ids = numbered.select("id", "key")
     rarest = stored(found.join(ids, "key").drop("key"), "rare")
-    listed = rarest.select(
-        "id", "half", "alone", F.posexplode("prefix").alias("at", "token")
-    ).select("token", "id", "half", (F.col("alone") + F.col("at")).alias("place"))
+    listed = stored(_families(rarest), "families")
     labels = stored(numbered.select("id", F.col("id").alias("component")), "labels")
     tested = segments.sparkSession.createDataFrame([], "a bigint, b bigint")
     seen, hubs, growth = 0, 1, HUB_GROWTH
     while True:
         members = listed.join(labels, "id")
         ends = [f(F.col("component")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-        groups = members.groupBy("token").agg(*ends, F.count("*").alias("c"))
-        open_groups = groups.where(F.col("lo") != F.col("hi")).select("token", "c")
-        members = stored(members.join(open_groups, "token"), "members")
+        groups = members.groupBy("family", "half").agg(*ends, F.count("*").alias("c"))
+        open_groups = groups.where(F.col("lo") != F.col("hi")).select("family", "half", "c")
+        members = stored(members.join(open_groups, ["family", "half"]), "members")
         largest = members.agg(F.max("c")).first()[0]
         if largest is None:
             break
         listed = members.select(*listed.columns)
-        place = F.row_number().over(Window.partitionBy("token").orderBy("id"))
+        place = F.row_number().over(Window.partitionBy("family", "half").orderBy("id"))
         chosen = members.withColumn("number", place).where(F.col("number") <= hubs)
-        traits = numbered.select("id", "n", "low", *(["signature"] if seen else []))
+        traits = numbered.select("id", "n", "low", "signature")
         described = lambda rows: rows.join(traits, "id").withColumn(  # noqa: E731, B023
             "base", F.when(F.col("half"), F.col("low")).otherwise(F.col("n"))
         )
         names = {"id": "a", "n": "n_a", "base": "base_a", "place": "place_a", "component": "u"}
-        names |= {"signature": "signature_a"} if seen else {}
+        names |= {"family": "of", "half": "half_a", "signature": "signature_a"}
         hub = described(chosen.where(F.col("number") > seen)).select(
-            F.col("token").alias("of"), *[F.col(c).alias(to) for c, to in names.items()]
+            *[F.col(c).alias(to) for c, to in names.items()]
         )
+        same = (F.col("family") == F.col("of")) & (F.col("half") == F.col("half_a"))
         new = (F.col("a") < F.col("id")) & (F.col("u") != F.col("component")) & _may_be_similar()
-        new = new & _bits_agree() if seen else new
         pairs = (
             described(members)
-            .join(hub, (F.col("token") == F.col("of")) & new)
+            .join(hub, same & new & _bits_agree())
             .select(
                 "a",
                 F.col("id").alias("b"),

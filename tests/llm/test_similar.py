@@ -95,3 +95,38 @@ def test_the_number_of_fragments_does_not_matter(spark):
         for fragments in (2, 64, 500)
     ]
     assert found[0] == found[1] == found[2]
+
+
+def test_edited_copies_meet_in_few_families(spark, monkeypatch):
+    """Forty copies of about 0.63: few rows are joined, and bits rule their pairs out."""
+    sizes = {"members": [], "candidates": []}
+
+    def counted(rows, label, *partitions, plain=ngram_join.stored):
+        table = plain(rows, label, *partitions)
+        if label in sizes:
+            sizes[label].append(table.count())
+        return table
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(700)]
+    texts = [edited(rng, words, 0.025) for _ in range(40)]
+    assert components(spark, texts) == all_pairs(texts)
+    assert 0 < sizes["members"][0] <= 20 * len(texts)
+    assert sum(sizes["candidates"]) <= 3 * len(texts)
+
+
+@pytest.mark.parametrize("length", [120, 280, 330, 500])
+def test_two_digests_of_many_texts(spark, length):
+    """Shingles with the same first and last class join texts without one in common."""
+    rng = random.Random(length)
+    parts = [[f"p{i}_{j}" for j in range(length // 6)] for i in range(6)]
+    every = [w for part in parts for w in part]
+    texts = [" ".join(every), " ".join([*every[: length // 2], "middle", *every[length // 2 :]])]
+    for part in parts:
+        own = [f"o{rng.randrange(10**9)}" for _ in range(8)]
+        texts += [" ".join(part + own[:n]) for n in (0, 1, 2, 8)]
+    rng.shuffle(texts)
+    expected = all_pairs(texts)
+    assert 1 < len(set(expected)) < len(texts)
+    assert components(spark, texts) == expected
